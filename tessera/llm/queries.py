@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing
+from . import decontam, fingerprints, line_dedup, ngram_join, packing
 
 SQL: dict[str, str] = {}
 
@@ -47,8 +47,26 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), n=3, similarity="9/10")
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_with_edits(_table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup}
+    return {
+        "op1_packing": op1_packing,
+        "op2_line_dedup": op2_line_dedup,
+        "op3_ngram_join": op3_ngram_join,
+        "op4_fingerprints": op4_fingerprints,
+        "op9_decontamination": op9_decontamination,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
