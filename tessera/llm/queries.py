@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, line_dedup, ngram_join, packing
+from . import decontam, fingerprints, langid, line_dedup, ngram_join, packing, quality, toxicity
 
 SQL: dict[str, str] = {}
 
@@ -55,6 +55,31 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def _held_out(modulus: int, rest: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % modulus == rest
+
+
+def _graded(docs: DataFrame, labels: DataFrame, operator, label: str, modulus: int, rest: int) -> DataFrame:
+    """Scores by ``operator`` (a module with train and score) learned outside the held-out fold."""
+    model = operator.train(docs, labels.where(~_held_out(modulus, rest)), label)
+    scored = operator.score(docs, model)
+    return scored.select("doc_id", F.coalesce(_held_out(modulus, rest), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graded(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), quality, "quality", 5, 0)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graded(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), toxicity, "toxic", 4, 2)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs.where(~_held_out(4, 2))))
+    return found.select("doc_id", F.coalesce(_held_out(4, 2), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -65,7 +90,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_ngram_join": op3_ngram_join,
         "op4_fingerprints": op4_fingerprints,
+        "op6_quality": op6_quality,
+        "op7_toxicity": op7_toxicity,
         "op9_decontamination": op9_decontamination,
+        "op10_language_id": op10_language_id,
     }
 
 
