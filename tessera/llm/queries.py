@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, langid, line_dedup, ngram_join, packing, quality, toxicity
+from . import decontam, fingerprints, langid, line_dedup, ngram_join, packing, pii, quality, toxicity
 
 SQL: dict[str, str] = {}
 
@@ -80,6 +80,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_held_out(4, 2), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.expr(f"filter(base, s -> s.kind = '{kind}')")).cast("long").alias(f"n_{kind}") for kind in pii.PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.array_sort(F.concat("base", "terms"))).alias("spans"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -92,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_fingerprints": op4_fingerprints,
         "op6_quality": op6_quality,
         "op7_toxicity": op7_toxicity,
+        "op8_pii": op8_pii,
         "op9_decontamination": op9_decontamination,
         "op10_language_id": op10_language_id,
     }
