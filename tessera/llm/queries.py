@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, langid, line_dedup, ngram_join, packing, pii, quality, toxicity
+from . import decontam, fingerprints, langid, licenses, line_dedup, ngram_join, packing, pii, quality, toxicity
 
 SQL: dict[str, str] = {}
 
@@ -55,6 +55,12 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    files = docs.select(F.col("doc_id").alias("key"), F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
+    return licenses.inherit(licenses.scan(files)).withColumnRenamed("key", "doc_id")
+
+
 def _held_out(modulus: int, rest: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % modulus == rest
 
@@ -96,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_ngram_join": op3_ngram_join,
         "op4_fingerprints": op4_fingerprints,
+        "op5_license_scan": op5_license_scan,
         "op6_quality": op6_quality,
         "op7_toxicity": op7_toxicity,
         "op8_pii": op8_pii,
