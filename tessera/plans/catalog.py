@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import annotation_queries, archive_queries, detection_queries, tensor_queries  # noqa: F401  they register themselves
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
