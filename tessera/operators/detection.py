@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import validate
@@ -99,7 +98,7 @@ def records(detections: DataFrame) -> DataFrame:
     return grouped.select("source", "frame_index", F.col("d.box").alias("boxes"), F.col("d.score").alias("scores"), F.col("d.label").alias("labels"))
 
 
-METADATA = T.ArrayType(T._parse_datatype_string("struct<path:string,boxes:array<array<double>>,scores:array<double>,labels:array<string>>"))
+METADATA = "array<struct<path:string,boxes:array<array<double>>,scores:array<double>,labels:array<string>>>"
 
 
 def read_metadata(texts: DataFrame) -> DataFrame:
