@@ -7,16 +7,17 @@ rows but asks for more shared shingles, so fewer pairs come to verification.
 Each document picks its ``l`` from the estimated number of candidates that its
 prefix meets; a pair is held to the smaller ``l`` of the two.
 
-* Order: shingles that are frequent come last.  Frequencies are counted over
-  all documents; only shingles seen ``SEEN`` times in a block of a few million
-  are worth a place in the table of frequent ones, whose size has a bound.
-  What falls outside that table is ordered by hash.  The order decides cost
-  and never results.
+* Order: rare shingles come first.  Words and shingles are counted over all
+  documents; those seen ``SEEN`` times in a block of a few million are worth a
+  place in one of two tables of bounded size.  A shingle's frequency is what its
+  words' frequencies make likely, or its own count where that is larger; ties go
+  by hash.  The order decides cost and never results.
 * Copies: documents with the same set are one representative.
 * Candidates: a shingle of few documents yields pairs, counted and held to
-  ``l``; one of many documents ties them to a star instead, so rows stay linear
-  in the size of a group.  Both kinds of ties split the documents into blocks
-  such that any two that may link are in one block.
+  ``l``; one of many documents is taken apart by set size, and what is still
+  many is tied to a star, so rows stay linear in the size of a group.  Both
+  kinds of ties split the documents into blocks such that any two that may link
+  are in one block.
 * Verification: the sets of a block meet in tiles of bounded size and are
   joined exactly there, again by adaptive prefixes, now in the block's own
   order.  Within a tile, documents that are already connected are not compared
@@ -31,6 +32,7 @@ are left out; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -41,14 +43,16 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import durable, release, shuffle_width
-from .text import shingle_sets
+from .text import blocks, shingle_sets, shingle_starts, shingles, utf8, words
 
-#: A block of counting, in shingles, and how often one must occur there to count as perhaps frequent.
+#: A block of counting, in words, and how often a word or shingle must occur there to count as perhaps frequent.
 COUNT_BLOCK, SEEN = 4_000_000, 4
-#: Most rows of the table of frequent shingles (12 bytes each).
-FREQUENT_ROWS = 1 << 18
+#: Most rows of the tables of frequent words and of frequent shingles (16 bytes each).
+TABLE_ROWS = 1 << 18
 #: Shingles of more documents than this tie them to a star.
 STAR = 24
+#: Rows of one shingle that a task holds at most, about.
+LONG_RUN = 200_000
 #: Most shared shingles that a prefix asks for, and for which estimated cost it asks one more.
 MOST_MATCHES = 8
 #: Shingles of all sets in a tile, about.
@@ -70,53 +74,111 @@ def matches_for(cost: float) -> int:
     return min(MOST_MATCHES, 2 + int(np.log2(1 + cost / 16)))
 
 
-def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of frequent shingles in ascending order, and in how many documents they were seen."""
+@dataclass
+class Counts:
+    """Frequent words and shingles: hashes in ascending order, and how often they were seen."""
+
+    words: np.ndarray
+    word_log2: np.ndarray
+    rarest_log2: float  # of words that are not in the table
+    shingles: np.ndarray
+    shingle_count: np.ndarray
+    all_log2: float  # of the number of words
+
+    def classes(self, hashes: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+        """For shingles that begin at these words: twice the log2 of their likely count."""
+        log2 = np.full(len(hashes) + n, self.rarest_log2)
+        if len(self.words) and len(hashes):
+            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+            log2[: len(hashes)] = np.where(self.words[at] == hashes, self.word_log2[at], self.rarest_log2)
+        total = np.zeros(len(first))
+        for k in range(n):
+            total += log2[first + k]
+        return np.clip(2 * total - 2 * (n - 1) * self.all_log2, -100, 100).astype(np.int16)
+
+    def seen(self, own: np.ndarray) -> np.ndarray:
+        """In how many documents each shingle was seen, 0 where it is not in the table."""
+        if not len(self.shingles) or not len(own):
+            return np.zeros(len(own), np.int64)
+        at = np.minimum(np.searchsorted(self.shingles, own), len(self.shingles) - 1)
+        return np.where(self.shingles[at] == own, self.shingle_count[at], 0)
+
+
+def _count(docs: DataFrame, n: int) -> Counts:
+    """Counts over all documents, two bounded tables of the largest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: tuple[list, list] = ([], [])
         size = 0
 
         def flush() -> pa.RecordBatch:
-            value, count = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
-            keep = count >= SEEN
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), pa.array(count[keep].astype(np.int64))], ["h", "n"])
+            cols: list[list[np.ndarray]] = [[], [], []]
+            total = 0
+            for kind, parts in enumerate(held):
+                value, count = np.unique(np.concatenate(parts) if parts else np.empty(0, np.uint64), return_counts=True)
+                total += int(count.sum()) * (kind == 0)
+                keep = count >= SEEN
+                for col, x in zip(cols, (np.full(int(keep.sum()), kind), value[keep].view(np.int64), count[keep])):
+                    col.append(x.astype(np.int64))
+                parts.clear()
+            for col, x in zip(cols, (2, 0, total)):  # how many words there are
+                col.append(np.array([x], np.int64))
+            kind, h, count = (np.concatenate(x) for x in cols)
+            return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int8)), pa.array(h), pa.array(count)], ["kind", "h", "n"])
 
         for batch in batches:
-            for own in shingle_sets(batch.column(0), n):
-                held.append(own)
-                size += len(own)
+            raw, offsets = utf8(batch.column(0))
+            for a, b in blocks(offsets):
+                h, at = words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                s, s_at = shingles(h, at, n)
+                held[0].append(h)
+                held[1].extend(np.unique(s[s_at[d] : s_at[d + 1]]) for d in range(b - a))
+                size += len(h)
                 if size >= COUNT_BLOCK:
                     yield flush()
                     size = 0
         yield flush()
 
-    counted = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > STAR)
-    seen = durable(counted, "frequent")
+    added = docs.select("text").mapInArrow(run, "kind byte, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
+    seen = durable(added.where((F.col("n") > STAR) | (F.col("kind") == 2)), "counts")
+    total = max(1, (seen.where("kind = 2").first() or {"n": 1})["n"])
+    word, word_count = _largest(seen.where("kind = 0"))
+    shingle, count = _largest(seen.where("kind = 1"))
+    release(seen)
+    log2 = np.log2(np.maximum(word_count, 1))
+    return Counts(word, log2, float(log2.min()) - 2 if len(log2) else 0.0, shingle, count, float(np.log2(total)))
+
+
+def _largest(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the largest counts, as many whole levels as ``TABLE_ROWS`` holds."""
     level = F.floor(4 * F.log2("n")).cast("int")
-    room, least = FREQUENT_ROWS, None
+    room, least = TABLE_ROWS, None
     for row in sorted(seen.groupBy(level.alias("level")).count().collect(), reverse=True):  # some 200 levels at most
         if row["count"] > room:
             break
         room, least = room - row["count"], row["level"]
     top = seen.where(level >= least if least is not None else F.lit(False)).toArrow()
-    release(seen)
     h, count = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(h)
     return h[order], count[order]
 
 
-def _look_up(own: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """How many documents have each shingle, 0 where it is not frequent."""
-    h, count = table
-    if not len(h) or not len(own):
-        return np.zeros(len(own), np.int64)
-    at = np.minimum(np.searchsorted(h, own), len(h) - 1)
-    return np.where(h[at] == own, count[at], 0)
+def _ordered_sets(column: pa.Array, n: int, counts: Counts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each document: its distinct shingles in ascending order, how often each was seen, and the global order."""
+    raw, offsets = utf8(column)
+    for a, b in blocks(offsets):
+        h, at = words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        s, s_at = shingles(h, at, n)
+        likely = counts.classes(h, shingle_starts(at, n)[0], n)
+        for d in range(b - a):
+            own, index = np.unique(s[s_at[d] : s_at[d + 1]], return_index=True)
+            seen = counts.seen(own)
+            rank = likely[s_at[d] : s_at[d + 1]][index] if at[d + 1] - at[d] >= n else np.zeros(len(own), np.int16)
+            rank = np.maximum(rank, np.where(seen > 0, 2 * np.log2(np.maximum(seen, 1)), -100))
+            yield own, seen, np.lexsort((own, rank))
 
 
-def _prefixes(n: int, t: Fraction, frequent: tuple[np.ndarray, np.ndarray]):
+def _prefixes(n: int, t: Fraction, counts: Counts):
     """Per document: its set's size and signature, and its prefix with the match count it stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,14 +193,12 @@ def _prefixes(n: int, t: Fraction, frequent: tuple[np.ndarray, np.ndarray]):
                 return pa.RecordBatch.from_arrays(out, ["doc_id", "row", "n", "s1", "s2", "ask", "prefix"])
 
             held = 0
-            for doc_id, row, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2), n)):
-                count = _look_up(own, frequent)
+            for doc_id, row, (own, count, order) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _ordered_sets(batch.column(2), n, counts)):
                 size = len(own)
                 base = size - needed(size, t) + 1
                 most = min(size, base + MOST_MATCHES - 1)
                 if most:
-                    key = np.lexsort((own, count))[:most]
-                    own_prefix, own_count = own[key], count[key]
+                    own_prefix, own_count = own[order[:most]], count[order[:most]]
                     ask = matches_for(np.maximum(own_count[:base] - 1, 0).sum())
                     ask = max(1, min(ask, most - base + 1))
                     prefix = own_prefix[: base + ask - 1]
@@ -192,68 +252,133 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def _pairs(t: Fraction):
-    """Sorted prefix rows -> ties: pairs of few documents, stars of many.
+def size_bins(t: Fraction, most: int) -> np.ndarray:
+    """Least sizes of bins such that sets of similarity ``t`` are in one bin or in neighbours."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(int(out[-1] / t) + 1)
+    return np.array(out, np.int64)
+
+
+MOST_SHINGLES = 1 << 40
 
-    ``a`` and ``b`` are documents, ``need`` the matches that the pair must
-    reach; a star's rows have need 0 and tie ``b`` to the shingle's first
-    document.
+
+class _Ties:
+    """Candidate ties of sorted prefix rows: pairs of few documents, stars of many.
+
+    Rows come as columns h, doc, n, ask, level.  A shingle of more than
+    ``STAR`` documents is taken apart by size: every document is in its bin and
+    the next, so any two of compatible sizes meet.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
-        rest: tuple[np.ndarray, ...] | None = None
-
-        def ties(cols: tuple[np.ndarray, ...], whole: bool) -> tuple[np.ndarray, ...]:
-            """Emit all shingles but the last, which may go on; return its rows."""
-            h, doc, n, ask, level = cols
-            cut = len(h) if whole else int(np.searchsorted(h, h[-1]))
-            edges = np.flatnonzero(np.concatenate(([True], h[1:cut] != h[: max(cut - 1, 0)]))) if cut else np.empty(0, np.int64)
-            lens = np.diff(np.concatenate((edges, [cut]))) if cut else edges
-            run_of = np.repeat(np.arange(len(edges)), lens)
-            many = lens > STAR
-            at = np.flatnonzero(many[run_of]) if cut else np.empty(0, np.int64)
-            at = at[doc[at] != doc[edges[run_of[at]]]] if len(at) else at
-            if len(at):
-                out.append((doc[edges[run_of[at]]], doc[at], np.zeros(len(at), np.int8)))
-            few = np.flatnonzero((lens[run_of] > 1) & ~many[run_of]) if cut else at
-            after = (edges + lens)[run_of[few]] - few if len(few) else few  # rows of the shingle from here on
-            for gap in range(1, int(after.max()) if len(few) else 0):
-                left = few[after > gap]
-                right = left + gap
-                ask_both = np.minimum(ask[left], ask[right])
-                small, large = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
-                ok = (np.maximum(level[left], level[right]) <= ask_both) & (small >= needed(large.astype(np.int64), t)) & (doc[left] != doc[right])
-                a, b = doc[left[ok]], doc[right[ok]]
-                if len(a):
-                    out.append((np.minimum(a, b), np.maximum(a, b), ask_both[ok]))
-            return tuple(x[cut:] for x in cols)
+    def __init__(self, t: Fraction) -> None:
+        self.t, self.bins = t, size_bins(t, MOST_SHINGLES)
+        self.out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.hubs: tuple[int, dict[int, int]] = (0, {})  # of the shingle that is too long to hold
+
+    def add(self, cols: tuple[np.ndarray, ...]) -> None:
+        """All rows of some shingles."""
+        h = cols[0]
+        if not len(h):
+            return
+        if self.hubs[1] and self.hubs[0] == h[0]:
+            first = int(np.searchsorted(h, h[0], "right"))
+            self.stars(tuple(x[:first] for x in cols))
+            cols = tuple(x[first:] for x in cols)
+            h = cols[0]
+        self.hubs = (0, {})
+        if not len(h):
+            return
+        run = np.cumsum(np.concatenate(([False], h[1:] != h[:-1])))
+        many = (np.bincount(run) > STAR)[run]
+        self.groups(run[~many], np.full(int((~many).sum()), -1), tuple(x[~many] for x in cols[1:]))
+        if many.any():
+            run, rest = run[many], tuple(x[many] for x in cols[1:])
+            own = np.searchsorted(self.bins, rest[1], "right") - 1
+            twice = np.concatenate((own, own + 1))
+            key = np.concatenate((run, run)) * len(self.bins) + twice
+            order = np.argsort(key, kind="stable")
+            self.groups(key[order], twice[order], tuple(np.concatenate((x, x))[order] for x in rest))
+
+    def groups(self, key: np.ndarray, bins: np.ndarray, cols: tuple[np.ndarray, ...]) -> None:
+        """Rows of equal ``key`` are together; a pair of a binned shingle counts in its larger bin only."""
+        if not len(key):
+            return
+        doc, n, ask, level = cols
+        edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        lens = np.diff(np.concatenate((edges, [len(key)])))
+        run = np.repeat(np.arange(len(edges)), lens)
+        at = np.flatnonzero((lens > STAR)[run])
+        at = at[doc[at] != doc[edges[run[at]]]]
+        if len(at):
+            self.out.append((doc[edges[run[at]]], doc[at], np.zeros(len(at), np.int8)))
+        few = np.flatnonzero(((lens > 1) & (lens <= STAR))[run])
+        after = (edges + lens)[run[few]] - few  # rows of the group from here on
+        for gap in range(1, int(after.max()) if len(few) else 0):
+            left = few[after > gap]
+            right = left + gap
+            need = np.minimum(ask[left], ask[right])
+            small, large = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
+            ok = (np.maximum(level[left], level[right]) <= need) & (small >= needed(large, self.t)) & (doc[left] != doc[right])
+            ok &= (bins[left] < 0) | (bins[left] == np.searchsorted(self.bins, large, "right") - 1)
+            a, b = doc[left[ok]], doc[right[ok]]
+            if len(a):
+                self.out.append((np.minimum(a, b), np.maximum(a, b), need[ok]))
+
+    def stars(self, cols: tuple[np.ndarray, ...]) -> None:
+        """Some rows of one shingle of very many documents: a star for each bin."""
+        h, doc, n = cols[:3]
+        if self.hubs[0] != h[0]:
+            self.hubs = (int(h[0]), {})
+        own = np.searchsorted(self.bins, n, "right") - 1
+        for shift in (0, 1):
+            for k in np.unique(own + shift):
+                there = doc[own + shift == k]
+                hub = self.hubs[1].setdefault(int(k), int(there[0]))
+                self.out.append((np.full(len(there), hub), there, np.zeros(len(there), np.int8)))
+
+    def take(self) -> Iterator[pa.RecordBatch]:
+        if self.out:
+            a, b, need = (np.concatenate([x[i] for x in self.out]) for i in range(3))
+            self.out.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need.astype(np.int32))], ["a", "b", "need"])
 
-        def flush() -> pa.RecordBatch:
-            a, b, need = (np.concatenate([x[i] for x in out]) for i in range(3))
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need.astype(np.int32))], ["a", "b", "need"])
 
+def _pairs(t: Fraction):
+    """Sorted prefix rows -> (a, b, need): a pair and the matches it must reach, or 0 for a star's tie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ties, rest = _Ties(t), None
         for batch in batches:
-            cols = tuple(batch.column(i).to_numpy() for i in range(5))
+            cols = tuple(batch.column(i).to_numpy().astype(np.int64) for i in range(5))
+            if rest is not None:
+                cols = tuple(np.concatenate(x) for x in zip(rest, cols))
             if not len(cols[0]):
                 continue
-            if rest is not None and len(rest[0]):
-                cols = tuple(np.concatenate(x) for x in zip(rest, cols))
-            rest = ties(cols, False)
-            if len(rest[0]) > 200_000:  # a shingle of very many: its star needs no look back
-                keep = np.arange(len(rest[0])) < STAR + 1
-                hub = rest[1][0]
-                far = rest[1][~keep]
-                out.append((np.full(len(far), hub), far, np.zeros(len(far), np.int8)))
-                rest = tuple(x[keep] for x in rest)
-            if out:
-                yield flush()
-        if rest is not None and len(rest[0]):
-            ties(rest, True)
-            if out:
-                yield flush()
+            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last shingle may go on
+            ties.add(tuple(x[:last] for x in cols))
+            rest = tuple(x[last:] for x in cols)
+            if len(rest[0]) > LONG_RUN:
+                ties.stars(rest)
+                rest = None
+            yield from ties.take()
+        if rest is not None:
+            ties.add(rest)
+        yield from ties.take()
+
+    return run
+
+
+def _hot_members(t: Fraction):
+    """Prefix rows of frequent shingles -> memberships of (shingle, size bin)."""
+    bins = size_bins(t, MOST_SHINGLES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.searchsorted(bins, batch.column(2).to_numpy(), "right") - 1
+            for shift in (0, 1):
+                names = [f"h{h}:{k}" for h, k in zip(batch.column(0).to_pylist(), (own + shift).tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(1)], ["grp", "node"])
 
     return run
 
@@ -354,16 +479,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: Fraction | str = "4
     spark = docs.sparkSession
     width = shuffle_width(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    frequent = _frequent(source, n)
-    each = durable(source.mapInArrow(_prefixes(n, t, frequent), "doc_id long, row long, n long, s1 long, s2 long, ask int, prefix binary"), "prefixes")
+    counts = _count(source, n)
+    each = durable(source.mapInArrow(_prefixes(n, t, counts), "doc_id long, row long, n long, s1 long, s2 long, ask int, prefix binary"), "prefixes")
     # one representative of each set
     reps = durable(each.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "row", "n", "ask", "prefix")).alias("r")).select("s1", "s2", "r.*"), "representatives")
-    rows = reps.mapInArrow(_explode(t, frequent[0]), "h long, doc long, n int, ask byte, level byte, hot boolean")
+    rows = reps.mapInArrow(_explode(t, counts.shingles), "h long, doc long, n int, ask byte, level byte, hot boolean")
     cold = rows.where("not hot").select("h", "doc", "n", "ask", "level")
     ties = durable(cold.repartition(width, "h").sortWithinPartitions("h", "doc").mapInArrow(_pairs(t), "a long, b long, need int"), "ties")
     paired = ties.where("need > 0").groupBy("a", "b").agg(F.count("*").alias("got"), F.max("need").alias("need")).where("got >= need")
     tied = paired.select("a", "b").unionAll(ties.where("need = 0").select("a", "b"))
-    hot = rows.where("hot").select(F.concat(F.lit("h"), "h").alias("grp"), F.col("doc").alias("node"))
+    hot = rows.where("hot").mapInArrow(_hot_members(t), "grp string, node long")
     block_of = components(_star_members(tied).unionAll(hot))
     # the sets of each block, in tiles
     member = block_of.join(reps.select(F.col("doc_id").alias("node"), "row", "n"), "node")

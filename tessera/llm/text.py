@@ -114,6 +114,14 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return hash_words(raw, starts, ends), np.searchsorted(starts, offsets)
 
 
+def shingle_starts(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first word of every n-word shingle, and where each document's shingles begin."""
+    count = np.diff(at)
+    made = np.where(count >= n, count - n + 1, np.minimum(count, 1))
+    out_at = np.concatenate(([0], np.cumsum(made)))
+    return np.repeat(at[:-1], made) + np.arange(out_at[-1]) - np.repeat(out_at[:-1], made), out_at
+
+
 def shingles(hashes: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-word shingles, with repeats, and where each document's begin.
 
@@ -121,12 +129,10 @@ def shingles(hashes: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np
     without words has none.
     """
     count = np.diff(at)
-    made = np.where(count >= n, count - n + 1, np.minimum(count, 1))
-    out_at = np.concatenate(([0], np.cumsum(made)))
+    first, out_at = shingle_starts(at, n)
     total = np.zeros(len(hashes), np.uint64)
     for k in range(n):
         total[: len(hashes) - k] += hashes[k:] * _COMBINE[k]
-    first = np.repeat(at[:-1], made) + np.arange(out_at[-1]) - np.repeat(out_at[:-1], made)
     out = total[first] if len(first) else np.empty(0, np.uint64)
     for d in np.flatnonzero((count > 0) & (count < n)):
         own = hashes[at[d] : at[d + 1]]
