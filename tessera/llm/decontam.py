@@ -8,8 +8,9 @@ items' word shingles with weights ln(1 + items / items that have it), their
 every value that near in each part finds all of them.
 
 Windows of an item's size (sizes are taken in steps of about 5 %) slide over
-every document by one word.  Only windows that hold a shingle of some item can
-be similar to one, so others are passed over.  Items within the radius of a
+every document by one word.  A window cannot be similar to an item unless the
+shingles that it has from any item make up most of its weight, so others are
+passed over (``SLACK`` allows for the steps in size).  Items within the radius of a
 window are verified there: the weighted Jaccard similarity of the item's
 shingles and of the window of exactly the item's size must reach
 ``similarity``.
@@ -38,6 +39,7 @@ BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
 RADIUS = 18
 PARTS = 8
 GATE_BITS = 20
+SLACK = 0.15
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -72,14 +74,22 @@ class Model:
                 self.items.append(Item(item_id, int(n_words), size, value, count, float((self.weights(value) * count).sum())))
         self.prints = np.array([self.simhash(np.repeat(x.shingles, x.counts)) for x in self.items], np.uint64)
         self.sizes = sorted({x.size for x in self.items})
-        self.of_size = {size: np.array([i for i, x in enumerate(self.items) if x.size == size]) for size in self.sizes}
+        step = {size: i for i, size in enumerate(self.sizes)}
+        self.step = np.array([step[x.size] for x in self.items], np.int64)
         spread = radius // PARTS
-        ball = np.array([bin(x).count("1") <= spread for x in range(256)])
-        near = ball[np.arange(256)[:, None] ^ np.arange(256)[None, :]]
-        self.index: dict[int, list[list[np.ndarray]]] = {}
-        for size, which in self.of_size.items():
-            part = [(self.prints[which] >> np.uint64(8 * p)).astype(np.uint8) for p in range(PARTS)]
-            self.index[size] = [[which[near[value][part[p]]] for value in range(256)] for p in range(PARTS)]
+        ball = np.array([x for x in range(256) if bin(x).count("1") <= spread], np.int64)
+        # for each part: items under (size, value), for every value within the spread of theirs
+        self.index: list[tuple[np.ndarray, np.ndarray]] = []
+        for p in range(PARTS):
+            value = ((self.prints >> np.uint64(8 * p)) & np.uint64(255)).astype(np.int64)
+            key = (self.step[:, None] * 256 + (value[:, None] ^ ball[None, :])).ravel()
+            order = np.argsort(key, kind="stable")
+            self.index.append((np.searchsorted(key[order], np.arange(256 * len(self.sizes) + 1)), order // len(ball)))
+
+    def hits(self, s: np.ndarray) -> np.ndarray:
+        """Where shingles of items are: a bitmap passes over most others."""
+        hit = np.flatnonzero(self.gate[s >> np.uint64(64 - GATE_BITS)])
+        return hit[self.known[np.minimum(np.searchsorted(self.known, s[hit]), len(self.known) - 1)] == s[hit]] if len(hit) else hit
 
     def weights(self, value: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -94,10 +104,19 @@ class Model:
     def simhash(self, value: np.ndarray) -> np.uint64:
         return pack_bits(self.votes(value).sum(0)[None, :])[0]
 
-    def near(self, size: int, window: np.uint64) -> np.ndarray:
-        """Items of this size within the radius of a window's fingerprint."""
-        found = np.unique(np.concatenate([self.index[size][p][int(window >> np.uint64(8 * p)) & 255] for p in range(PARTS)]))
-        return found[np.bitwise_count(self.prints[found] ^ window) <= self.radius]
+    def near(self, step: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all items of a window's size within the radius of its fingerprint."""
+        pairs = []
+        for p, (at, items) in enumerate(self.index):
+            key = step * 256 + ((windows >> np.uint64(8 * p)) & np.uint64(255)).astype(np.int64)
+            count = at[key + 1] - at[key]
+            who = np.repeat(np.arange(len(windows)), count)
+            place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(at[key], count)
+            pairs.append(who * len(self.items) + items[place])
+        pair = np.unique(np.concatenate(pairs))
+        window, item = pair // len(self.items), pair % len(self.items)
+        near = np.bitwise_count(self.prints[item] ^ windows[window]) <= self.radius
+        return window[near], item[near]
 
     def similarity(self, item: Item, window: np.ndarray) -> float:
         """Weighted Jaccard similarity of an item's and a window's shingles."""
@@ -122,9 +141,7 @@ def matches(model: Model, hashes: np.ndarray, similarity: float) -> dict[int, tu
         s, _ = shingles(hashes, np.array([0, len(hashes)]), short)
         if short < model.n:  # whole sequences of few words
             s = mix_short(hashes, short)
-        hit = np.flatnonzero(model.gate[s >> np.uint64(64 - GATE_BITS)])
-        if len(hit):
-            hit = hit[model.known[np.minimum(np.searchsorted(model.known, s[hit]), len(model.known) - 1)] == s[hit]]
+        hit = model.hits(s)
         if not len(hit):
             continue
         reach = max(size for size in model.sizes)
@@ -132,26 +149,31 @@ def matches(model: Model, hashes: np.ndarray, similarity: float) -> dict[int, tu
         for a, b in zip(hit[np.concatenate(([0], ends + 1))], hit[np.concatenate((ends, [len(hit) - 1]))]):
             low, high = max(0, int(a) - reach), min(len(s), int(b) + reach + 1)
             own = s[low:high]
-            total = np.concatenate((np.zeros((1, 64)), np.cumsum(model.votes(own), 0)))
-            hits = np.concatenate(([0], np.cumsum(np.isin(own, model.known))))
-            for size in model.sizes:
+            votes = model.votes(own)
+            weight = np.abs(votes[:, 0])
+            total = np.concatenate((np.zeros((1, 64)), np.cumsum(votes, 0)))
+            all_weight = np.concatenate(([0], np.cumsum(weight)))
+            hit_weight = np.concatenate(([0], np.cumsum(weight * np.isin(own, model.known))))
+            begin, end, which = [], [], []
+            for step, size in enumerate(model.sizes):
                 if min(size, model.n) != short:
                     continue
-                wide = size - short + 1  # shingles of a window
-                if wide > len(own):  # the document is shorter than the item
-                    starts, stops = np.array([0]), np.array([len(own)])
-                else:
-                    starts = np.arange(len(own) - wide + 1)
-                    stops = starts + wide
-                keep = hits[stops] > hits[starts]
-                starts, stops = starts[keep], stops[keep]
-                for start, window in zip(starts, pack_bits(total[stops] - total[starts])):
-                    for i in model.near(size, window):
-                        item = model.items[i]
-                        exact = own[start : start + item.n_words - short + 1]
-                        value = model.similarity(item, exact)
-                        if value >= similarity and value > best.get(i, (0.0,))[0]:
-                            best[i] = (value, low + int(start), len(exact) + short - 1)
+                wide = min(size - short + 1, len(own))  # shingles of a window; of the document if that is shorter
+                starts = np.arange(len(own) - wide + 1)
+                stops = starts + wide
+                starts = starts[hit_weight[stops] - hit_weight[starts] >= (similarity - SLACK) * (all_weight[stops] - all_weight[starts])]
+                begin.append(starts)
+                end.append(starts + wide)
+                which.append(np.full(len(starts), step))
+            starts, stops, steps = (np.concatenate(x) for x in (begin, end, which))
+            if not len(starts):
+                continue
+            for w, i in zip(*model.near(steps, pack_bits(total[stops] - total[starts]))):
+                item, start = model.items[i], int(starts[w])
+                exact = own[start : start + item.n_words - short + 1]
+                value = model.similarity(item, exact)
+                if value >= similarity and value > best.get(i, (0.0,))[0]:
+                    best[i] = (value, low + start, len(exact) + short - 1)
     return best
 
 
@@ -179,8 +201,7 @@ def _search(docs: DataFrame, model: Model, similarity: float) -> DataFrame:
                 h, at = words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 if whole:  # documents without any item's shingle match nothing
                     s, s_at = shingles(h, at, model.n)
-                    hit = np.flatnonzero(model.gate[s >> np.uint64(64 - GATE_BITS)])
-                    which = np.unique(np.searchsorted(s_at, hit, "right") - 1)
+                    which = np.unique(np.searchsorted(s_at, model.hits(s), "right") - 1)
                 else:
                     which = np.arange(b - a)
                 for d in which:
