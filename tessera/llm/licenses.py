@@ -46,7 +46,7 @@ TEMPLATES = {
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright; CC0 1.0 Universal Public Domain Dedication",),
 }
 LICENSE_NAME = r"(?i)(^|/)(un)?licen[sc]e[^/]*$|(^|/)copying[^/]*$"
-THRESHOLD, WHOLE = 0.6, 0.8
+THRESHOLD, WHOLE = 0.6, 0.95
 #: A unit is compared only if it has one of these; every template has.
 ANCHOR = re.compile(r"licen[sc]|copyright|permi(?:ssion|tted)", re.I)
 WORD = re.compile(r"[0-9]+(?:\.[0-9]+)?|[^\W\d_]+")

@@ -131,7 +131,7 @@ def shingles(hashes: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np
     count = np.diff(at)
     first, out_at = shingle_starts(at, n)
     total = np.zeros(len(hashes), np.uint64)
-    for k in range(n):
+    for k in range(min(n, len(hashes))):
         total[: len(hashes) - k] += hashes[k:] * _COMBINE[k]
     out = total[first] if len(first) else np.empty(0, np.uint64)
     for d in np.flatnonzero((count > 0) & (count < n)):
