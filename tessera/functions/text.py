@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,6 +65,14 @@ def human_size(n: Column) -> Column:
     return out
 
 
-def yolo_number(x: Column) -> Column:
-    """Six decimals."""
-    return F.format_string("%.6f", x)
+def fixed(x: Column, digits: int) -> Column:
+    """A number with so many decimals, exact ties to even; null stays null.
+
+    Java rounds the shortest decimal text half up, so this goes through Python.
+    """
+
+    @F.pandas_udf("string")
+    def write(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if pd.isna(v) else f"{v:.{digits}f}")
+
+    return write(x.cast("double"))

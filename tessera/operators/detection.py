@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import validate
+from ..functions.text import fixed
 
 SCHEMA = "source string, frame_index bigint, det_index int, x1 double, y1 double, x2 double, y2 double, score double, label string"
 Detector = Callable[..., list[tuple[float, float, float, float, float, str]]]
@@ -86,8 +87,7 @@ def class_registry(detections: DataFrame, order: tuple[str, ...] = ("frame_index
 def yolo_lines(detections: DataFrame, width: Column, height: Column) -> DataFrame:
     """(source, frame_index, det_index, line): label lines with six decimals."""
     boxes = normalise(detections, width, height).join(F.broadcast(class_registry(detections)), "label")
-    number = lambda c: F.format_string("%.6f", c)
-    line = F.concat_ws(" ", F.col("class_id").cast("string"), *(number(c) for c in ("xc", "yc", "w", "h")))
+    line = F.concat_ws(" ", F.col("class_id").cast("string"), *(fixed(F.col(c), 6) for c in ("xc", "yc", "w", "h")))
     return boxes.select("source", "frame_index", "det_index", line.alias("line"))
 
 

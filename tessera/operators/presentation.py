@@ -86,5 +86,5 @@ def draw_anchors(boxes: DataFrame) -> DataFrame:
     """Adds the box in whole pixels and where and what its text is."""
     whole = boxes.withColumns({c: F.col(c).cast("int") for c in ("x1", "y1", "x2", "y2")})
     y = F.when(F.col("y1") - 5 > 15, F.col("y1") - 5).otherwise(F.col("y1") + 18)
-    caption = F.concat("label", F.coalesce(F.concat(F.lit(" "), F.format_string("%.2f", F.col("score"))), F.lit("")))
+    caption = F.concat("label", F.coalesce(F.concat(F.lit(" "), text.fixed(F.col("score"), 2)), F.lit("")))
     return whole.withColumns({"text_x": F.col("x1"), "text_y": y, "caption": caption})

@@ -78,6 +78,12 @@ def crop_names(spark, sf):
     return p.crop_names(_detections(spark, sf), F.concat(F.lit("images/"), F.col("image_id").cast("string"), F.lit(".png"))).select(*KEYS, "crop_path")
 
 
+@query("crop_dataset", DET + "SELECT image_id, line_no, l_partkey, l_suppkey, 'class_' || class_id || '/train_' || image_id || '_crop_' || (row_number() OVER (PARTITION BY image_id, class_id ORDER BY det_index) - 1) || '.jpg' AS crop_path, x2 - x1 AS width, y2 - y1 AS height FROM DET")
+def crop_dataset(spark, sf):
+    rel = F.concat(F.lit("train/"), F.col("image_id").cast("string"), F.lit(".png"))
+    return p.crop_names(_detections(spark, sf), F.concat(p.crop_stem(rel), F.lit(".jpg"))).select(*KEYS, "crop_path", (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"))
+
+
 @query("label_sanitize", "SELECT p_partkey, coalesce(nullif(trim(regexp_replace('#' || p_name || ' (' || p_type || ')', '[^a-zA-Z0-9_-]+', '_', 'g'), '_'), ''), 'unknown') AS label FROM part")
 def label_sanitize(spark, sf):
     return table(spark, sf, "part").select("p_partkey", text.sanitise_label(F.concat(F.lit("#"), "p_name", F.lit(" ("), "p_type", F.lit(")"))).alias("label"))

@@ -80,7 +80,7 @@ for _name, _op, _sql in (("add", "add", "v + v * 0.5"), ("sub", "sub", "v - v *
     _on_matrix(f"tensor_{_name}", f"SELECT i0, i1, {F32.format(_sql)} AS v FROM E", lambda e, op=_op: getattr(e, op)(e.mul(0.5)))
 _on_matrix("tensor_add_joined", f"SELECT a.i0, a.i1, {F32.format('a.v + b.v')} AS v FROM E a JOIN E b ON a.i0 = b.i0 AND a.i1 = 63 - b.i1", lambda e: e.add(e[:, ::-1]))
 _on_matrix("tensor_rsub", f"SELECT i0, i1, {F32.format('1 - v')} AS v FROM E", lambda e: 1 - e)
-_on_matrix("tensor_div", f"SELECT i0, i1, round({F32.format('v / (v * v + 1.0)')}, 6) AS v FROM E", lambda e: t.Tensor(e.base, e.index, (e._number() / (e._number() * e._number() + 1.0)).cast("float"), e.shape), 6)
+_on_matrix("tensor_div", f"SELECT i0, i1, {F32.format('v / ' + F32.format(F32.format('v * v') + ' + 1'))} AS v FROM E", lambda e: e.div(e.mul(e).add(1)))
 _on_matrix("tensor_in_place", "SELECT i0, i1, trunc(trunc(v * 10) + 1.9::DOUBLE) + 0.0 AS v FROM E", lambda e: t.Tensor(e.base, e.index, (e._number() * 10).cast("int"), e.shape, "int32").in_place("add", 1.9))
 _on_matrix("tensor_fill", "SELECT i0, i1, 2.5::DOUBLE AS v FROM E", lambda e: e.fill_(2.5))
 _on_matrix("tensor_zero", "SELECT i0, i1, 0.0::DOUBLE AS v FROM E", lambda e: e.zero_())

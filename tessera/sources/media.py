@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,8 +24,6 @@ def read_images(spark: SparkSession, source: str, recursive: bool = False) -> Da
 
 def to_rgb(image: DataFrame) -> DataFrame:
     """Adds ``rgb``: pixels as RGB bytes from grey, BGR or BGRA."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def convert(h: pd.Series, w: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
         import numpy as np
@@ -53,7 +52,6 @@ def from_video(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         import cv2
-        import pandas as pd
 
         for batch in batches:
             for p in batch["path"]:

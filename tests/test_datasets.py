@@ -157,3 +157,46 @@ def test_streaming_registry(spark, tmp_path):
     q = first_seen(stream).writeStream.format("memory").queryName("seen").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r["label"], r["first"]["frame_index"]) for r in spark.table("seen").collect()} == {("a", 0), ("b", 2)}
+
+
+def png(width: int, height: int, pixel: tuple[int, int, int]) -> bytes:
+    import struct
+    import zlib
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    rows = (b"\0" + bytes(pixel) * width) * height
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_images_and_crops(spark, tmp_path):
+    from tessera.sources import media
+
+    (tmp_path / "nested").mkdir()
+    (tmp_path / "red.png").write_bytes(png(12, 8, (255, 0, 0)))
+    (tmp_path / "nested/green.png").write_bytes(png(6, 4, (0, 255, 0)))
+    (tmp_path / "notes.txt").write_text("x")
+    images = media.read_images(spark, str(tmp_path), recursive=True)
+    assert [(r["image"]["width"], r["image"]["height"]) for r in images.collect()] == [(6, 4), (12, 8)]
+    red = media.read_images(spark, str(tmp_path / "red.png"))
+    assert media.to_rgb(red).first()["rgb"][:3] == bytearray((255, 0, 0))
+    box = red.select(F.lit(1).cast("long").alias("image_id"), F.lit(0).alias("det_index"), F.lit(2).alias("x1"), F.lit(1).alias("y1"), F.lit(7).alias("x2"), F.lit(4).alias("y2"), "image")
+    crop = presentation.crop_pixels(box).first()
+    assert (crop["width"], crop["height"]) == (5, 3) and bytes(crop["data"]) == bytes((0, 0, 255)) * 15
+    assert not media.is_video(str(tmp_path / "red.png"))
+
+
+def test_detector_to_label_lines(spark):
+    frames = spark.createDataFrame([("v", 0, 64, 48, b"x"), ("v", 1, 64, 48, b"y")], "source string, frame_index long, width int, height int, image binary")
+    model = detection.Model(lambda image, prompt, **_: [(5, 5, 20, 20, 0.9, " Apple "), (0, 0, 64, 48, 0.9, "all"), (1, 1, 2, 2, 0.1, "low")])
+    found = model.set_input_kwargs(a=1).predict(frames, "fruit", max_area=0.5)
+    lines = [r["line"] for r in detection.yolo_lines(found, F.lit(64), F.lit(48)).orderBy("frame_index").collect()]
+    assert lines == ["0 0.195312 0.260417 0.234375 0.312500"] * 2
+    with pytest.raises(ValueError):
+        model.predict(frames, "fruit", max_area=1.5)
+
+
+def test_drawing_anchor(spark):
+    box = spark.createDataFrame([(20.9, 20.0, 80.0, 80.0, "apple", 0.9), (0.0, 40.0, 5.0, 50.0, "b", None)], "x1 double, y1 double, x2 double, y2 double, label string, score double")
+    assert [(r["text_x"], r["text_y"], r["caption"]) for r in presentation.draw_anchors(box).collect()] == [(20, 38, "apple 0.90"), (0, 35, "b")]
