@@ -5,7 +5,8 @@ and checked (parts, digits, Luhn).  Each value so found is a protected entity.
 The words near its mentions are candidates: over the whole corpus, a term's
 disclosure of an entity is the pointwise mutual information
 ``log2 p(entity | term) / p(entity)``, from the number of distinct contexts in
-which both occur and the number of documents that have the term.  A term with
+which both occur and the number of documents, or of contexts of any entity if
+that is larger, that have the term.  A term with
 at least ``MIN_CONTEXTS`` such contexts, a share ``p(entity | term)`` of at
 least ``MIN_SHARE`` and at least ``MIN_BITS`` bits is a span of its own in every
 document; from ``REMOVE_SHARE`` it is removed by ``sanitise``, below that
@@ -115,8 +116,10 @@ def revealing_terms(found: DataFrame, docs: DataFrame) -> DataFrame | None:
     """
     mention = found.where(F.size("mentions") > 0).select(F.explode("mentions").alias("m")).select("m.*")
     contexts = mention.groupBy("entity", "left", "right").agg(F.lit(1).alias("one")).select("entity", F.xxhash64("left", "right").alias("context"), F.explode(F.array_distinct(F.concat("left", "right"))).alias("term"))
-    pairs = contexts.where(F.length("term") >= MIN_TERM).groupBy("term", "entity").agg(F.count_distinct("context").alias("both")).where(F.col("both") >= MIN_CONTEXTS)
-    candidates = durable(pairs, "pii-candidates")
+    by_pair = contexts.where(F.length("term") >= MIN_TERM).groupBy("term", "entity").agg(F.count_distinct("context").alias("both"))
+    by_term = by_pair.groupBy("term").agg(F.sum("both").alias("contexts"))
+    pairs = by_pair.where(F.col("both") >= MIN_CONTEXTS).join(by_term, "term")
+    candidates = durable(pairs.where(F.col("both") >= MIN_SHARE * F.col("contexts")), "pii-candidates")
     n_terms = candidates.select("term").distinct().count()
     if not n_terms:
         release(candidates)
@@ -127,7 +130,7 @@ def revealing_terms(found: DataFrame, docs: DataFrame) -> DataFrame | None:
     total = docs.count()
     entities = found.select("doc_id", F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
     counts = have.groupBy("term").agg(F.count("*").alias("with_term"))
-    rated = candidates.join(counts, "term").join(entities, "entity").withColumn("share", F.least(F.lit(1.0), F.col("both") / F.col("with_term")))
+    rated = candidates.join(counts, "term").join(entities, "entity").withColumn("share", F.col("both") / F.greatest("both", "with_term", "contexts"))
     bits = F.log2(F.col("share") * total / F.col("with_entity"))
     over = rated.where((F.col("share") >= MIN_SHARE) & (bits >= MIN_BITS)).groupBy("term").agg(F.max("share").alias("share"))
     return have.join(over, "term").groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("term", "share"))).alias("terms"))
