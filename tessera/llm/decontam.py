@@ -187,27 +187,33 @@ def mix_short(hashes: np.ndarray, n: int) -> np.ndarray:
 RESULT = "doc_id long, item_id long, similarity double, first_word long, n_words long"
 
 
+def _found(model: Model, column: pa.Array, similarity: float) -> Iterator[tuple[int, dict[int, tuple[float, int, int]]]]:
+    """(row, matches) of the texts that have any."""
+    raw, offsets = utf8(column)
+    whole = all(min(size, model.n) == model.n for size in model.sizes)
+    for a, b in blocks(offsets):
+        h, at = words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        which = np.arange(b - a)
+        if whole:  # documents without any item's shingle match nothing
+            s, s_at = shingles(h, at, model.n)
+            which = np.unique(np.searchsorted(s_at, model.hits(s), "right") - 1)
+        for d in which:
+            if best := matches(model, h[at[d] : at[d + 1]], similarity):
+                yield a + int(d), best
+
+
 def _search(docs: DataFrame, model: Model, similarity: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        whole = all(min(size, model.n) == model.n for size in model.sizes)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            raw, offsets = utf8(batch.column(1))
             out: list[list] = [[], [], [], [], []]
-            for a, b in blocks(offsets):
-                h, at = words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                if whole:  # documents without any item's shingle match nothing
-                    s, s_at = shingles(h, at, model.n)
-                    which = np.unique(np.searchsorted(s_at, model.hits(s), "right") - 1)
-                else:
-                    which = np.arange(b - a)
-                for d in which:
-                    for i, (value, first, n_words) in matches(model, h[at[d] : at[d + 1]], similarity).items():
-                        for col, x in zip(out, (ids[a + d], model.items[i].item_id, value, first, n_words)):
-                            col.append(x)
+            for row, best in _found(model, batch.column(1), similarity):
+                doc_id = batch.column(0)[row].as_py()
+                for i, (value, first, n_words) in best.items():
+                    for col, x in zip(out, (doc_id, model.items[i].item_id, value, first, n_words)):
+                        col.append(x)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
@@ -239,6 +245,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, similarity:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
-    """``docs`` without the documents that hold an item; same columns."""
-    leaks = contaminated(docs, benchmark, n, similarity, radius).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """``docs`` without the rows that hold an item; same columns, no shuffle."""
+    for items in _item_blocks(benchmark):
+        docs = _filter(docs, Model(items, n, radius), similarity)
+    return docs
+
+
+def _filter(docs: DataFrame, model: Model, similarity: float) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[row for row, _ in _found(shared.value, batch.column(1), similarity)]] = False
+            yield batch.filter(pa.array(clean)).select([0])
+
+    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    kept = boxed.mapInArrow(run, boxed.select("row").schema)
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
