@@ -43,20 +43,20 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import durable, release, shuffle_width
-from .text import blocks, shingle_sets, shingle_starts, shingles, utf8, words
+from .text import blocks, shingle_sets, shingle_starts, shingles, tidy, utf8, words
 
 #: A block of counting, in words, and how often a word or shingle must occur there to count as perhaps frequent.
-COUNT_BLOCK, SEEN = 4_000_000, 4
+COUNT_BLOCK, SEEN = 2_000_000, 3
 #: Most rows of the tables of frequent words and of frequent shingles (16 bytes each).
 TABLE_ROWS = 1 << 18
 #: Shingles of more documents than this tie them to a star.
 STAR = 24
 #: Rows of one shingle that a task holds at most, about.
 LONG_RUN = 200_000
-#: Most shared shingles that a prefix asks for, and for which estimated cost it asks one more.
-MOST_MATCHES = 8
+#: Most shared shingles that a prefix asks for, and the length of prefix for which it asks one more.
+MOST_MATCHES, CHANCE = 24, 48
 #: Shingles of all sets in a tile, about.
-TILE = 1_500_000
+TILE = 800_000
 
 
 def needed(n: np.ndarray | int, t: Fraction) -> np.ndarray | int:
@@ -69,9 +69,13 @@ def alike(common: np.ndarray, n: np.ndarray, m: np.ndarray, t: Fraction) -> np.n
     return common * t.denominator >= t.numerator * (n + m - common)
 
 
-def matches_for(cost: float) -> int:
-    """How many shared shingles to ask for at an estimated number of candidates."""
-    return min(MOST_MATCHES, 2 + int(np.log2(1 + cost / 16)))
+def matches_for(cost: float, base: int) -> int:
+    """How many shared shingles to ask for at a prefix of ``base`` shingles.
+
+    ``cost`` is how many documents share them by what is known; besides, longer
+    prefixes meet more documents by chance.
+    """
+    return min(MOST_MATCHES, 2 + int(np.log2(1 + cost / 16)) + int(base) // CHANCE)
 
 
 @dataclass
@@ -139,7 +143,7 @@ def _count(docs: DataFrame, n: int) -> Counts:
                     size = 0
         yield flush()
 
-    added = docs.select("text").mapInArrow(run, "kind byte, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
+    added = docs.select("text").mapInArrow(tidy(run), "kind byte, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
     seen = durable(added.where((F.col("n") > STAR) | (F.col("kind") == 2)), "counts")
     total = max(1, (seen.where("kind = 2").first() or {"n": 1})["n"])
     word, word_count = _largest(seen.where("kind = 0"))
@@ -199,7 +203,7 @@ def _prefixes(n: int, t: Fraction, counts: Counts):
                 most = min(size, base + MOST_MATCHES - 1)
                 if most:
                     own_prefix, own_count = own[order[:most]], count[order[:most]]
-                    ask = matches_for(np.maximum(own_count[:base] - 1, 0).sum())
+                    ask = matches_for(np.maximum(own_count[:base] - 1, 0).sum(), base)
                     ask = max(1, min(ask, most - base + 1))
                     prefix = own_prefix[: base + ask - 1]
                 else:
@@ -383,8 +387,8 @@ def _hot_members(t: Fraction):
     return run
 
 
-def _local_links(sets: list[np.ndarray], left: np.ndarray, t: Fraction) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the sets.
+def _local_labels(sets: list[np.ndarray], left: np.ndarray, t: Fraction) -> np.ndarray:
+    """For each set the first one that links between the sets reach.
 
     ``left`` marks the first of two tiles; when both marks occur only links
     across count, since each tile is joined with itself elsewhere.
@@ -407,7 +411,6 @@ def _local_links(sets: list[np.ndarray], left: np.ndarray, t: Fraction) -> list[
     p_doc = p_doc[by]
     p_at = np.searchsorted(p_token[by], np.arange(len(freq) + 1))
     label = np.arange(count)
-    links: list[tuple[int, int]] = []
     present = np.zeros(len(freq), bool)
     rank = np.empty(count, np.int64)
     rank[np.argsort(size, kind="stable")] = np.arange(count)
@@ -415,7 +418,7 @@ def _local_links(sets: list[np.ndarray], left: np.ndarray, t: Fraction) -> list[
         own = token[at[x] : at[x + 1]]
         head = own[: base[x]]
         cost = (p_at[head + 1] - p_at[head]).sum()
-        ask = int(min(matches_for(cost), needed(int(size[x]), t)))
+        ask = int(min(matches_for(cost, base[x]), needed(int(size[x]), t)))
         probe = own[: base[x] + ask - 1]
         post = [p_doc[p_at[k] : p_at[k + 1]] for k in probe[freq[probe] > 1]]
         if not post:
@@ -436,10 +439,9 @@ def _local_links(sets: list[np.ndarray], left: np.ndarray, t: Fraction) -> list[
                 a, b = label[x], label[y]
                 if a != b:
                     label[label == max(a, b)] = min(a, b)
-                    links.append((int(x), int(y)))
             met = met[label[met] != label[x]]
         present[own] = False
-    return links
+    return label
 
 
 def _join_tile(t: Fraction):
@@ -447,8 +449,9 @@ def _join_tile(t: Fraction):
         ids = table["doc"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table["own"].to_pylist()]
         left = table["tile"].to_numpy() == table["t1"].to_numpy()
-        links = _local_links(sets, left, t) if len(sets) > 1 else []
-        return pa.table({"a": pa.array([int(ids[x]) for x, _ in links], pa.int64()), "b": pa.array([int(ids[y]) for _, y in links], pa.int64())})
+        label = _local_labels(sets, left, t) if len(sets) > 1 else np.arange(len(sets))
+        moved = np.flatnonzero(label != np.arange(len(sets)))
+        return pa.table({"a": pa.array(ids[label[moved]], pa.int64()), "b": pa.array(ids[moved], pa.int64())})
 
     return run
 
@@ -480,12 +483,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: Fraction | str = "4
     width = shuffle_width(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     counts = _count(source, n)
-    each = durable(source.mapInArrow(_prefixes(n, t, counts), "doc_id long, row long, n long, s1 long, s2 long, ask int, prefix binary"), "prefixes")
+    each = durable(source.mapInArrow(tidy(_prefixes(n, t, counts)), "doc_id long, row long, n long, s1 long, s2 long, ask int, prefix binary"), "prefixes")
     # one representative of each set
     reps = durable(each.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "row", "n", "ask", "prefix")).alias("r")).select("s1", "s2", "r.*"), "representatives")
-    rows = reps.mapInArrow(_explode(t, counts.shingles), "h long, doc long, n int, ask byte, level byte, hot boolean")
+    rows = reps.mapInArrow(tidy(_explode(t, counts.shingles)), "h long, doc long, n int, ask byte, level byte, hot boolean")
     cold = rows.where("not hot").select("h", "doc", "n", "ask", "level")
-    ties = durable(cold.repartition(width, "h").sortWithinPartitions("h", "doc").mapInArrow(_pairs(t), "a long, b long, need int"), "ties")
+    ties = durable(cold.repartition(width, "h").sortWithinPartitions("h", "doc").mapInArrow(tidy(_pairs(t)), "a long, b long, need int"), "ties")
     paired = ties.where("need > 0").groupBy("a", "b").agg(F.count("*").alias("got"), F.max("need").alias("need")).where("got >= need")
     tied = paired.select("a", "b").unionAll(ties.where("need = 0").select("a", "b"))
     hot = rows.where("hot").mapInArrow(_hot_members(t), "grp string, node long")
@@ -494,14 +497,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: Fraction | str = "4
     member = block_of.join(reps.select(F.col("doc_id").alias("node"), "row", "n"), "node")
     size = member.groupBy("comp").agg(F.count("*").alias("docs"), F.ceil(F.sum("n") / F.lit(TILE)).cast("int").alias("tiles")).where("docs > 1")
     tiled = member.join(size, "comp").select(F.col("node").alias("doc_id"), "row", "comp", "tiles", F.pmod(F.xxhash64("node", "row"), F.col("tiles")).cast("int").alias("tile"))
-    text = tiled.join(source, ["doc_id", "row"]).select(F.col("doc_id").alias("doc"), "comp", "tiles", "tile", "text")
-    sets = text.mapInArrow(_sets(n), "doc long, comp long, tiles int, tile int, own binary")
+    text = source.join(tiled.hint("merge"), ["doc_id", "row"]).select(F.col("doc_id").alias("doc"), "comp", "tiles", "tile", "text")
+    sets = text.mapInArrow(tidy(_sets(n)), "doc long, comp long, tiles int, tile int, own binary")
     meet = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     meet = meet.select("doc", "comp", "tile", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "own")
     links = meet.groupBy("comp", "t1", "t2").applyInArrow(_join_tile(t), "a long, b long")
     comp = components(_star_members(links))
     whole = reps.select("s1", "s2", F.col("doc_id").alias("node")).join(comp, "node", "left").select("s1", "s2", F.coalesce("comp", "node").alias("component_id"))
-    return each.select("doc_id", "n", "s1", "s2").join(whole, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = each.select("doc_id", "n", "s1", "s2").join(whole, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    result = durable(found, "near-duplicates")
+    release(each, reps, ties, block_of, comp)
+    return result
 
 
 def _star_members(pairs: DataFrame) -> DataFrame:
