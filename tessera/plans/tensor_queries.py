@@ -21,7 +21,7 @@ def matrix(spark: SparkSession, sf: str) -> t.Tensor:
 
 def cells(x: t.Tensor, digits: int | None = None) -> DataFrame:
     value = to_double(x.value, x.dtype)
-    return x.base.select(*(i.cast("bigint").alias(f"i{k}") for k, i in enumerate(x.index)), (F.round(value, digits) if digits else value).alias("v"))
+    return x.base.select(*(i.cast("bigint").alias(f"i{k}") for k, i in enumerate(x.index)), (F.round(value, digits) + F.lit(0.0) if digits else value).alias("v"))
 
 
 def _register(key: str, sql: str, make, digits: int | None = None) -> None:
@@ -95,8 +95,8 @@ for _name, _sign in (("eq", "="), ("ne", "<>"), ("lt", "<"), ("le", "<="), ("gt"
     _on_matrix(f"tensor_{_name}", f"SELECT i0, i1, (CASE WHEN round(v * 4) {_sign} 1 THEN 1 ELSE 0 END)::DOUBLE AS v FROM E", lambda e, op=_name: getattr(t.Tensor(e.base, e.index, F.round(e._number() * 4).cast("float"), e.shape), op)(1))
 
 # whole-number division by a column, in the columns' own table
-query("tensor_column_div", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(trunc(l_partkey / (l_linenumber + 1)) AS BIGINT) AS q, CAST(round(l_extendedprice / l_quantity, 6) AS DOUBLE) AS unit FROM lineitem")(
-    lambda s, sf: (lambda c: table(s, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", c["l_partkey"].alias("q"), F.round(c["unit"], 6).alias("unit")))(
+query("tensor_column_div", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(trunc(l_partkey / (l_linenumber + 1)) AS BIGINT) AS q, CAST(l_extendedprice / l_quantity AS DOUBLE) AS unit FROM lineitem")(
+    lambda s, sf: (lambda c: table(s, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", c["l_partkey"].alias("q"), c["unit"].alias("unit")))(
         {
             "l_partkey": t.Tensor(None, (), F.col("l_partkey"), (), "int64").div(t.Tensor(None, (), F.col("l_linenumber") + 1, (), "int32")).value,
             "unit": t.Tensor(None, (), F.col("l_extendedprice"), (), "float64").div(t.Tensor(None, (), F.col("l_quantity"), (), "float64")).value,
@@ -110,7 +110,7 @@ _on_matrix("tensor_sum_dim0", "SELECT i1 AS i0, round(sum(v), 6) AS v FROM E GRO
 _on_matrix("tensor_sum_dim1", "SELECT i0, 0::BIGINT AS i1, round(sum(v), 6) AS v FROM E GROUP BY i0", lambda e: t.Tensor(e.base, e.index, e._number(), e.shape, "float64").sum(-1, keepdim=True), 6)
 _on_matrix("tensor_sum_bool", "SELECT count(*) FILTER (WHERE v > 0)::DOUBLE AS v FROM E", lambda e: t.Tensor(e.base, e.index, e.value > 0, e.shape, "bool").sum())
 _on_matrix("tensor_mean", "SELECT round(avg(v), 6) AS v FROM E", lambda e: t.Tensor(e.base, e.index, e._number(), e.shape, "float64").mean(), 6)
-_on_matrix("tensor_mean_int", "SELECT trunc(sum(CAST(trunc(v * 100) AS BIGINT)) / 32000) AS v FROM E", lambda e: t.Tensor(e.base, e.index, (e._number() * 100).cast("bigint"), e.shape, "int64").mean())
+_on_matrix("tensor_mean_int", "SELECT trunc(sum(CAST(trunc(v * 100) AS BIGINT)) / 32000) + 0.0 AS v FROM E", lambda e: t.Tensor(e.base, e.index, (e._number() * 100).cast("bigint"), e.shape, "int64").mean())
 _on_matrix("tensor_mean_dim1", "SELECT i0, round(sum(v) / 64, 6) AS v FROM E GROUP BY i0", lambda e: t.Tensor(e.base, e.index, e._number(), e.shape, "float64").mean(1), 6)
 _on_matrix("tensor_prod", "SELECT round(product(1 + abs(v) / 100), 6) AS v FROM E WHERE i0 < 20", lambda e: (lambda x: t.Tensor(x.base, x.index, 1 + F.abs(x._number()) / 100, x.shape, "float64").prod())(e[:20]), 6)
 _on_matrix("tensor_max", "SELECT max(v) AS v FROM E", lambda e: e.max())
@@ -122,4 +122,4 @@ _on_matrix("tensor_var", "SELECT round(var_samp(v), 6) AS v FROM E", lambda e: t
 _on_matrix("tensor_std", "SELECT round(stddev_pop(v), 6) AS v FROM E", lambda e: t.Tensor(e.base, e.index, e._number(), e.shape, "float64").std(unbiased=False), 6)
 _on_matrix("tensor_all", "SELECT (CASE WHEN bool_and(v <> 0) THEN 1 ELSE 0 END)::DOUBLE AS v FROM E", lambda e: e.all())
 _on_matrix("tensor_any", "SELECT i0, (CASE WHEN bool_or(v > 0.9) THEN 1 ELSE 0 END)::DOUBLE AS v FROM E GROUP BY i0", lambda e: e.gt(0.9).any(1))
-_on_matrix("tensor_matmul", "SELECT a.i0, b.i0 AS i1, round(sum(a.v * b.v), 5) AS v FROM E a JOIN E b ON a.i1 = b.i1 WHERE a.i0 < 20 GROUP BY a.i0, b.i0", lambda e: (lambda x: x[:20].matmul(x.t()))(t.Tensor(e.base, e.index, e._number(), e.shape, "float64")), 5)
+_on_matrix("tensor_matmul", "SELECT a.i0, b.i0 AS i1, round(sum(a.v * b.v), 5) + 0.0 AS v FROM E a JOIN E b ON a.i1 = b.i1 WHERE a.i0 < 20 GROUP BY a.i0, b.i0", lambda e: (lambda x: x[:20].matmul(x.t()))(t.Tensor(e.base, e.index, e._number(), e.shape, "float64")), 5)
