@@ -43,7 +43,8 @@ MUST_HAVE = {"email": "@", "ip": ".", "phone": "+"}
 NEAR_WORDS, NEAR_CHARS = 3, 120
 MIN_TERM = 4
 MIN_CONTEXTS, MIN_SHARE, MIN_BITS, REMOVE_SHARE = 3, 0.5, 4.0, 0.9
-#: Candidate terms are broadcast up to this many (some 64 bytes each), joined by shuffle beyond.
+#: Candidate terms, and documents with revealing ones, are broadcast up to this
+#: many (some 100 bytes each), joined by shuffle beyond.
 BROADCAST_TERMS = 200_000
 
 
@@ -133,7 +134,7 @@ def revealing_terms(found: DataFrame, docs: DataFrame) -> DataFrame | None:
     rated = candidates.join(counts, "term").join(entities, "entity").withColumn("share", F.col("both") / F.greatest("both", "with_term", "contexts"))
     bits = F.log2(F.col("share") * total / F.col("with_entity"))
     over = rated.where((F.col("share") >= MIN_SHARE) & (bits >= MIN_BITS)).groupBy("term").agg(F.max("share").alias("share"))
-    return have.join(over, "term").groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("term", "share"))).alias("terms"))
+    return durable(have.join(over, "term").groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("term", "share"))).alias("terms")), "pii-documents")
 
 
 def _mentions(text: Column, spans: Column) -> Column:
@@ -161,9 +162,10 @@ def find(docs: DataFrame) -> DataFrame:
     if terms is None:
         return found.select("doc_id", "row", "base", none.alias("terms"))
     same = ["doc_id", "row"]
-    texts = source.alias("s").join(terms.alias("t"), F.expr("s.doc_id <=> t.doc_id and s.row = t.row")).select("s.doc_id", "s.row", "s.text", "t.terms").dropDuplicates(same)
+    few = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    texts = source.alias("s").join(few.alias("t"), F.expr("s.doc_id <=> t.doc_id and s.row = t.row")).select("s.doc_id", "s.row", "s.text", "t.terms")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("terms", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))
-    spans = texts.select(*same, F.coalesce(_spans(F.col("text"), "term", pattern), none).alias("terms"))
+    spans = texts.select(*same, F.coalesce(_spans(F.col("text"), "term", pattern), none).alias("terms")).dropDuplicates(same)
     return found.alias("f").join(spans.alias("p"), F.expr("f.doc_id <=> p.doc_id and f.row = p.row"), "left").select("f.doc_id", "f.row", "f.base", F.coalesce("p.terms", none).alias("terms"))
 
 
