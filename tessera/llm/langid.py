@@ -27,10 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .text import blocks, utf8
+from .storage import durable
+from .text import blocks, tidy, utf8
 
 #: Most labelled documents that are learned from, for each language.
 PER_LANGUAGE = 1500
+#: Sampled ids are broadcast up to this many (some 32 bytes each).
+SALTS, BROADCAST_IDS = 64, 200_000
 BUCKET_BITS = 16
 #: Added to every trigram count.
 SMOOTHING = 0.5
@@ -120,8 +123,14 @@ class Model:
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model from ``labelled(doc_id, text, lang)``; rows without ``lang`` teach nothing."""
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and lang is not null and text is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
-    picked = rows.select("doc_id", "lang", "text").withColumn("rank", rank).where(F.col("rank") <= per_language)
+    # ranks over ids alone; a first cut by salt keeps a language that most rows have from one task
+    keys = rows.select("lang", "doc_id", F.xxhash64("text").alias("row")).distinct().withColumn("h", F.xxhash64("doc_id", "row")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    order = [F.col("h"), F.col("doc_id"), F.col("row")]
+    few = keys.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= per_language)
+    picks = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= per_language)
+    picks = durable(picks.select("lang", "doc_id", "row"), "language-sample")
+    small = picks.count() <= BROADCAST_IDS
+    picked = rows.withColumn("row", F.xxhash64("text")).join(F.broadcast(picks) if small else picks, ["lang", "doc_id", "row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -136,7 +145,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bucket", "n"])
 
-    counted = picked.select("lang", "text").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = picked.select("lang", "text").mapInArrow(tidy(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(counted["lang"].to_pylist()))
     table = np.full((1 << BUCKET_BITS, len(languages)), SMOOTHING)
     where = {lang: i for i, lang in enumerate(languages)}
@@ -167,7 +176,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, kind)], ["doc_id", "lang_pred", "score", "languages"])
 
     schema = "doc_id long, lang_pred string, score double, languages array<struct<lang string, share double>>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), schema)
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -184,5 +193,5 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
             yield batch.filter(pa.array(told, pa.bool_())).select([0])
 
     boxed = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"))
-    kept = boxed.mapInArrow(run, boxed.select("row").schema)
+    kept = boxed.mapInArrow(tidy(run), boxed.select("row").schema)
     return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
