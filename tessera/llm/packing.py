@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .storage import durable
+from .text import tidy
 
 #: Rows of one length that one task ranks at most, about.
-RANK_ROWS = 200_000
+RANK_ROWS = 10_000
 #: Runs without white space beyond this many characters are left to the tokenizer itself.
 LONG_RUN = re.compile(r"\S{4096}")
 
@@ -47,9 +48,7 @@ def _encoder(path: str) -> Callable[[str], list[int]]:
     """
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
@@ -60,12 +59,19 @@ def _encoder(path: str) -> Callable[[str], list[int]]:
 
     def encode(text: str) -> list[int]:
         if LONG_RUN.search(text):
-            return own.encode(text, add_special_tokens=False).ids
+            return _reference(path).encode(text, add_special_tokens=False).ids
         return fast.encode(text, allowed_special=allowed, disallowed_special=())
 
     return encode
 
 
+@functools.lru_cache(maxsize=2)
+def _reference(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable letter by which byte-level BPE files write each byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -108,13 +114,13 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_i
                     for name, value in zip(rows, (doc_id.as_py(), k, start, length, zlib.crc32(own.tobytes()), own.astype(np.int32) if with_ids else None)):
                         rows[name].append(value)
                 held += len(ids)
-                if held > 1_000_000:
+                if held > 500_000:
                     yield flush()
                     held = 0
             if rows["piece"]:
                 yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 @dataclass
@@ -214,27 +220,27 @@ def _best_fit(left: np.ndarray, plan: Plan) -> None:
 
 
 def place(pieces: DataFrame, capacity: int = 2048) -> tuple[DataFrame, int]:
-    """Give every piece a ``sequence_id`` and an ``offset``; also how many sequences.
+    """Give every piece of ``pieces(id, length, ...)`` a ``sequence_id`` and an ``offset``; also how many sequences.
 
-    Ranks within a length come from counts per (length, salt): the salt grows
-    with the table, so a length that holds a third of all pieces is ranked by
-    many tasks.
+    ``id`` is unique.  Ranks within a length come from counts per (length,
+    salt): the salt grows with the table, so a length that holds a third of all
+    pieces is ranked by many tasks.  Only ids and lengths are ranked; whatever
+    else pieces carry joins their places in the end.
     """
     salts = max(1, -(-pieces.count() // RANK_ROWS))
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
+    salted = pieces.select("id", "length", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = plan_packing(histogram, capacity)
-    before = counts.select("length", "__salt", (F.sum("__n").over(Window.partitionBy("length").orderBy("__salt")) - F.col("__n")).alias("__before"))
-    ranked = salted.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32"))).join(before, ["length", "__salt"])
-    ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__before") - 1)
+    before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("id"))).join(before, ["length", "salt"])
+    ranked = ranked.select("id", "length", (F.col("rank") + F.col("before") - 1).alias("rank"))
     rows = np.array(sorted(plan.rows), np.int64).reshape(-1, 5)
     by_length = np.searchsorted(rows[:, 0], np.arange(capacity + 2))
-    names = [c for c in pieces.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "__rank"))
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
             at = np.empty(len(length), np.int64)
             for x in np.unique(length):
                 own = length == x
@@ -243,10 +249,10 @@ def place(pieces: DataFrame, capacity: int = 2048) -> tuple[DataFrame, int]:
             _, first, sequence, copies, offset = rows[at].T if len(at) else rows[:0].T
             within = rank - first
             out = [sequence + within // np.maximum(copies, 1), offset + within % np.maximum(copies, 1) * length]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(x, pa.int64()) for x in out)], [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.int64()) for x in out)], ["id", "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long"), plan.n_sequences
+    places = ranked.mapInArrow(run, "id long, sequence_id long, offset long")
+    return pieces.join(places, "id").drop("id"), plan.n_sequences
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
@@ -254,8 +260,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
 
     ``with_ids`` also carries the ids; without, only their checksum.
     """
-    pieces = durable(tokenize_pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces")
-    return place(pieces, capacity)[0]
+    pieces = tokenize_pieces(docs, tokenizer, capacity, end_id, with_ids)
+    return place(durable(pieces.withColumn("id", F.monotonically_increasing_id()), "pieces"), capacity)[0]
 
 
 def assemble(packed: DataFrame) -> DataFrame:
