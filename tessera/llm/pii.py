@@ -4,13 +4,13 @@ Addresses, IP numbers, card numbers and telephone numbers are found by pattern
 and checked (parts, digits, Luhn).  Each value so found is a protected entity.
 The words near its mentions are candidates: over the whole corpus, a term's
 disclosure of an entity is the pointwise mutual information
-``log2 p(entity | term) / p(entity)``, from the number of distinct contexts in
-which both occur and the number of documents, or of contexts of any entity if
-that is larger, that have the term.  A term with
-at least ``MIN_CONTEXTS`` such contexts, a share ``p(entity | term)`` of at
+``log2 p(entity | term) / p(entity)``.  All its counts are of distinct texts: those
+in which the term is near the entity, those that have the term anywhere, those
+that have the entity, and all; copies of a document count once in each.  A term with
+at least ``MIN_CONTEXTS`` texts near the entity, a share ``p(entity | term)`` of at
 least ``MIN_SHARE`` and at least ``MIN_BITS`` bits is a span of its own in every
 document; from ``REMOVE_SHARE`` it is removed by ``sanitise``, below that
-generalised.  Contexts count once however often a passage is copied.
+generalised.
 
 Everything is DataFrame expressions; texts stay in the JVM.
 
@@ -115,12 +115,11 @@ def revealing_terms(found: DataFrame, docs: DataFrame) -> DataFrame | None:
 
     ``terms`` is an array of (term, share).  ``found`` has (doc_id, row, mentions).
     """
-    mention = found.where(F.size("mentions") > 0).select(F.explode("mentions").alias("m")).select("m.*")
-    contexts = mention.groupBy("entity", "left", "right").agg(F.lit(1).alias("one")).select("entity", F.xxhash64("left", "right").alias("context"), F.explode(F.array_distinct(F.concat("left", "right"))).alias("term"))
-    by_pair = contexts.where(F.length("term") >= MIN_TERM).groupBy("term", "entity").agg(F.count_distinct("context").alias("both"))
-    by_term = by_pair.groupBy("term").agg(F.sum("both").alias("contexts"))
-    pairs = by_pair.where(F.col("both") >= MIN_CONTEXTS).join(by_term, "term")
-    candidates = durable(pairs.where(F.col("both") >= MIN_SHARE * F.col("contexts")), "pii-candidates")
+    near = found.where(F.size("mentions") > 0).select("row", F.explode("mentions").alias("m")).select("row", "m.entity", F.explode(F.concat("m.left", "m.right")).alias("term")).where(F.length("term") >= MIN_TERM).distinct()
+    by_pair = near.groupBy("term", "entity").agg(F.count("*").alias("both")).where(F.col("both") >= MIN_CONTEXTS)
+    by_term = near.select("term", "row").distinct().groupBy("term").agg(F.count("*").alias("near"))
+    # a term is in all texts in which it is near some entity
+    candidates = durable(by_pair.join(by_term, "term").where(F.col("both") >= MIN_SHARE * F.col("near")), "pii-candidates")
     n_terms = candidates.select("term").distinct().count()
     if not n_terms:
         release(candidates)
@@ -128,10 +127,10 @@ def revealing_terms(found: DataFrame, docs: DataFrame) -> DataFrame | None:
     terms = candidates.select("term").distinct()
     words = docs.select("doc_id", "row", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
     have = durable(words.join(F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms, "term"), "pii-terms")
-    total = docs.count()
-    entities = found.select("doc_id", F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
-    counts = have.groupBy("term").agg(F.count("*").alias("with_term"))
-    rated = candidates.join(counts, "term").join(entities, "entity").withColumn("share", F.col("both") / F.greatest("both", "with_term", "contexts"))
+    total = found.select("row").distinct().count()
+    entities = found.select("row", F.explode(F.transform("mentions", lambda m: m["entity"])).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    counts = have.select("term", "row").distinct().groupBy("term").agg(F.count("*").alias("with_term"))
+    rated = candidates.join(counts, "term").join(entities, "entity").withColumn("share", F.col("both") / F.greatest("near", "with_term"))
     bits = F.log2(F.col("share") * total / F.col("with_entity"))
     over = rated.where((F.col("share") >= MIN_SHARE) & (bits >= MIN_BITS)).groupBy("term").agg(F.max("share").alias("share"))
     return durable(have.join(over, "term").groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("term", "share"))).alias("terms")), "pii-documents")

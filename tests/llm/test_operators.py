@@ -309,6 +309,16 @@ def test_terms_that_give_an_entity_away(spark):
     assert clean[600] == "copy of one passage with <EMAIL> and frobnicate inside"
 
 
+def test_terms_are_rated_over_distinct_texts(spark):
+    rows = [(i, f"{w} wrote that zelda reads bob@x.org about {w} today") for i, w in enumerate(["alpha", "gamma", "delta"])]
+    rows += [(100 + i, "delta wrote that zelda reads bob@x.org about delta today") for i in range(200)]
+    rows += [(400 + i, f"unrelated number{w} here. Contact Janine Dover at jd@z.org or call") for i, w in enumerate("abcdefgh")]
+    rows += [(1000 + i, f"the weather today, that nobody wrote about {i}") for i in range(300)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[0] == "alpha wrote that <TERM> <TERM> <EMAIL> about alpha today"  # copies do not lower a share
+    assert clean[400] == "unrelated numbera here. Contact <TERM> <TERM> at <EMAIL> or <TERM>"  # one signature in several texts
+
+
 # -- decontamination ----------------------------------------------------
 def test_contamination_equals_brute_force(spark, docs):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
