@@ -1,9 +1,10 @@
 """License scans: TF-IDF cosine to templates, then inheritance along directories.
 
 A file's units are its lines, its paragraphs and its whole text.  Units and
-templates are sparse TF-IDF vectors of words; a word's document frequency is
-counted over all files for the templates' vocabulary, and every other word
-counts as one of a thousand files' words.  A file's own license is the template
+templates are sparse TF-IDF vectors of words; every word's document frequency is
+counted over all files.  The templates' words go to the executors, which find
+each unit's dot products; the frequencies of its other words, which only its norm
+needs, are joined to the units.  A file's own license is the template
 of the unit with the largest cosine, if that reaches ``threshold``.  Files that
 are named as license files, or whose whole text reaches ``whole``, speak for
 their directory: a file without a license of its own takes that of the nearest
@@ -30,6 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .storage import durable, release
 
 # Short statements by which files name their license.
 TEMPLATES = {
@@ -53,50 +57,73 @@ WORD = re.compile(r"[0-9]+(?:\.[0-9]+)?|[^\W\d_]+")
 
 
 def tokens(text: str) -> list[str]:
-    return [w.lower() for w in WORD.findall(text)]
+    return WORD.findall(text.lower())
+
+
+#: Words whose counts a task holds at once.
+WORDS_HELD = 200_000
+UNITS = "array<struct<whole:boolean,dot:double,name:string,known:double,words:array<struct<word:string,n:int>>>>"
 
 
 class Model:
+    """Templates as vectors, and the idf of their words."""
+
     def __init__(self, templates: dict[str, tuple[str, ...]], df: dict[str, int], files: int) -> None:
         self.idf = {w: math.log((1 + files) / (1 + n)) + 1 for w, n in df.items()}
-        self.other = math.log((1 + files) / (1 + files / 1000)) + 1
         self.vectors = [(name, self.vector(Counter(tokens(x)))) for name, texts in templates.items() for x in texts]
 
     def vector(self, count: Counter) -> dict[str, float]:
-        raw = {w: n * self.idf.get(w, self.other) for w, n in count.items()}
-        norm = math.sqrt(sum(x * x for x in raw.values())) or 1.0
+        raw = {w: n * self.idf[w] for w, n in count.items()}
+        norm = math.sqrt(math.fsum(x * x for x in raw.values())) or 1.0
         return {w: x / norm for w, x in raw.items()}
 
-    def best(self, unit: str) -> tuple[float, str]:
-        """The largest cosine and its template, (0, '') for a unit without words."""
-        own = self.vector(Counter(tokens(unit)))
-        found = [(sum(x * own.get(w, 0.0) for w, x in vector.items()), name) for name, vector in self.vectors]
-        return min(found, key=lambda f: (-f[0], f[1])) if own else (0.0, "")
-
-    def scan(self, text: str) -> tuple[float, str, float, str]:
-        """Best unit and whole text."""
+    def units(self, text: str) -> list[dict]:
+        """The units with their best template: its dot product, the square of the norm over the templates' words, all others."""
         if not ANCHOR.search(text):
-            return 0.0, "", 0.0, ""
-        lines = [x for x in text.split("\n") if ANCHOR.search(x)]
-        parts = [x for x in re.split(r"\n[ \t]*\n", text) if "\n" in x and ANCHOR.search(x)]
-        whole = self.best(text)
-        score, name = min([whole, *(self.best(x) for x in [*lines, *parts])], key=lambda f: (-f[0], f[1]))
-        return score, name, *whole
-
-
-def _frequencies(files: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
-    """In how many files each word of the vocabulary is, and how many files there are."""
+            return []
+        parts = [(True, text)]
+        if "\n" in text:
+            parts += [(False, x) for x in [*text.split("\n"), *(x for x in re.split(r"\n[ \t]*\n", text) if "\n" in x)] if ANCHOR.search(x)]
+        found = []
+        for whole, part in parts:
+            count = Counter(tokens(part))
+            own = {w: count.pop(w) * self.idf[w] for w in self.idf.keys() & count.keys()}
+            if own:
+                dot, name = min(((math.fsum(x * own.get(w, 0.0) for w, x in vector.items()), name) for name, vector in self.vectors), key=lambda f: (-f[0], f[1]))
+                known = math.fsum(x * x for x in own.values())
+                found.append({"whole": whole, "dot": dot, "name": name, "known": known, "words": [{"word": w, "n": n} for w, n in count.items()]})
+        return found
+
+
+def _frequencies(files: DataFrame) -> DataFrame:
+    """(word, n): in how many files each word is; the word '' counts the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, count = 0, Counter()
+        def rows(count: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+
+        count = Counter()
         for batch in batches:
             for text in batch.column(0):
-                total += 1
-                count.update(vocabulary.intersection(WORD.findall((text.as_py() or "").lower())))
-        yield pa.RecordBatch.from_arrays([pa.array(["", *count], pa.string()), pa.array([total, *count.values()], pa.int64())], ["word", "n"])
+                count[""] += 1
+                count.update(set(tokens(text.as_py() or "")))
+                if len(count) > WORDS_HELD:
+                    yield rows(count)
+                    count = Counter()
+        yield rows(count)
+
+    return files.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
 
-    found = {r["word"]: r["n"] for r in files.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    return {w: found.get(w, 0) for w in vocabulary}, found.get("", 0)
+def _scores(units: DataFrame, frequencies: DataFrame, files: int) -> DataFrame:
+    """(id, best, whole): each file's best (-score, name) and the score of its whole text."""
+    unit = units.select("id", F.posexplode("units").alias("k", "u")).select("id", "k", "u.*")
+    word = unit.select("id", "k", F.explode("words").alias("w")).select("id", "k", "w.*")
+    needed = frequencies.join(word.select("word").distinct(), "word").select("word", (F.log((1 + files) / (1 + F.col("n"))) + 1).alias("idf"))
+    squares = word.join(needed, "word").groupBy("id", "k").agg(F.array_sort(F.collect_list(F.pow(F.col("n") * F.col("idf"), 2.0))).alias("squares"))
+    rest = F.coalesce(F.aggregate("squares", F.lit(0.0), lambda a, x: a + x), F.lit(0.0))  # in one order, so that equal units tie
+    rated = unit.join(squares, ["id", "k"], "left").withColumn("score", F.least(F.lit(1.0), F.col("dot") / F.sqrt(F.col("known") + rest)))
+    return rated.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("rank"), "name")).alias("best"), F.max(F.when(F.col("whole"), F.col("score"))).alias("whole"))
 
 
 def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD, whole: float = WHOLE) -> DataFrame:
@@ -106,17 +133,27 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None,
     """
     templates = templates or TEMPLATES
     vocabulary = {w for texts in templates.values() for x in texts for w in tokens(x)}
-    model = Model(templates, *_frequencies(files, vocabulary))
+    frequencies = durable(_frequencies(files), "license-words")
+    df = {r["word"]: r["n"] for r in frequencies.where(F.col("word").isin("", *vocabulary)).collect()}
+    total = df.get("", 0)
+    model = Model(templates, {w: df.get(w, 0) for w in vocabulary}, total)
+    kind = T._parse_datatype_string(f"units {UNITS}").fields[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_type(kind.dataType)
         for batch in batches:
-            found = [model.scan(text.as_py() or "") for text in batch.column(3)]
-            name = [x[1] if x[0] >= threshold else None for x in found]
-            speaks = [bool(x[2] >= whole or (named.as_py() and x[0] >= threshold)) for x, named in zip(found, batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(name, pa.string()), pa.array([x[0] for x in found], pa.float64()), pa.array(speaks, pa.bool_())], ["key", "path", "own_license", "own_score", "speaks"])
+            found = pa.array([model.units(text.as_py() or "") for text in batch.column(3)], arrow)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), found], ["key", "path", "named", "units"])
 
     rows = files.select(F.col("key"), F.col("path").cast("string").alias("path"), F.coalesce(F.col("path").rlike(LICENSE_NAME), F.lit(False)).alias("named"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, T.StructType([T.StructField("key", rows.schema["key"].dataType), *T._parse_datatype_string("path string, own_license string, own_score double, speaks boolean").fields]))
+    schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), *T._parse_datatype_string("path string, named boolean").fields, kind])
+    units = durable(rows.mapInArrow(run, schema).withColumn("id", F.monotonically_increasing_id()), "license-units")
+    scored = units.join(_scores(units, frequencies, total), "id", "left")
+    score = F.coalesce(-F.col("best.rank"), F.lit(0.0))
+    speaks = (F.coalesce(F.col("whole"), F.lit(0.0)) >= whole) | (F.col("named") & (score >= threshold))
+    found = durable(scored.select("key", "path", F.when(score >= threshold, F.col("best.name")).alias("own_license"), score.alias("own_score"), speaks.alias("speaks")), "license-scan")
+    release(frequencies, units)
+    return found
 
 
 def _directories(path):

@@ -382,3 +382,15 @@ def test_license_lines_of_the_fixture(spark, docs):
     for d, s in docs.items():
         want = {v for k, v in names.items() if k in s}
         assert rows[d] in want if want else rows[d] is None
+
+
+def own_licenses(spark, texts: list, **kw) -> list:
+    """Licenses of texts among 300 files of words that most files have."""
+    rows = [(i, f"d/{i}", x) for i, x in enumerate([*texts, *[f"this file is part of the project so you may use it, can be found in full details {k}" for k in range(300)]])]
+    found = {r["key"]: r["own_license"] for r in licenses.scan(spark.createDataFrame(rows, "key long, path string, text string"), **kw).collect()}
+    assert not any(found[i] for i in range(len(texts), len(rows)))
+    return [found[i] for i in range(len(texts))]
+
+
+def test_common_words_weigh_little_in_license_headers(spark):
+    assert own_licenses(spark, ["code\nThis file is part of the project, you may use it under the MIT License\nmore", "You can use this project under the Apache License, Version 2.0, full details can be found in the file"]) == ["MIT", "Apache-2.0"]
