@@ -4,7 +4,11 @@ A file's units are its lines, its paragraphs and its whole text.  Units and
 templates are sparse TF-IDF vectors of words; every word's document frequency is
 counted over all files.  The templates' words go to the executors, which find
 each unit's dot products; the frequencies of its other words, which only its norm
-needs, are joined to the units.  A file's own license is the template
+needs, are joined to the units.  Units are left out only where that loses nothing:
+a cosine is at most the norm of the part of a template's vector whose words the
+unit has, and at most what it would be if all files had the unit's other words.
+A file none of whose units can reach a threshold has ``own_score`` 0.
+A file's own license is the template
 of the unit with the largest cosine, if that reaches ``threshold``.  Files that
 are named as license files, or whose whole text reaches ``whole``, speak for
 their directory: a file without a license of its own takes that of the nearest
@@ -25,7 +29,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,8 +55,6 @@ TEMPLATES = {
 }
 LICENSE_NAME = r"(?i)(^|/)(un)?licen[sc]e[^/]*$|(^|/)copying[^/]*$"
 THRESHOLD, WHOLE = 0.6, 0.95
-#: A unit is compared only if it has one of these; every template has.
-ANCHOR = re.compile(r"licen[sc]|copyright|permi(?:ssion|tted)", re.I)
 WORD = re.compile(r"[0-9]+(?:\.[0-9]+)?|[^\W\d_]+")
 
 
@@ -66,32 +68,38 @@ UNITS = "array<struct<whole:boolean,dot:double,name:string,known:double,words:ar
 
 
 class Model:
-    """Templates as vectors, and the idf of their words."""
+    """Templates as vectors, and the idf of their words; ``least`` is the cosine of interest."""
 
-    def __init__(self, templates: dict[str, tuple[str, ...]], df: dict[str, int], files: int) -> None:
+    def __init__(self, templates: dict[str, tuple[str, ...]], df: dict[str, int], files: int, least: float) -> None:
         self.idf = {w: math.log((1 + files) / (1 + n)) + 1 for w, n in df.items()}
         self.vectors = [(name, self.vector(Counter(tokens(x)))) for name, texts in templates.items() for x in texts]
+        self.least = max(least, 0.0) ** 2 * (1 - 1e-9)
 
     def vector(self, count: Counter) -> dict[str, float]:
         raw = {w: n * self.idf[w] for w, n in count.items()}
         norm = math.sqrt(math.fsum(x * x for x in raw.values())) or 1.0
         return {w: x / norm for w, x in raw.items()}
 
+    def reach(self, words: Set[str]) -> bool:
+        """Whether a unit of some of these words can be near enough to a template."""
+        return any(sum(x * x for w, x in vector.items() if w in words) >= self.least for _, vector in self.vectors)
+
     def units(self, text: str) -> list[dict]:
-        """The units with their best template: its dot product, the square of the norm over the templates' words, all others."""
-        if not ANCHOR.search(text):
+        """The units that may be near enough with their best template: its dot product, the square of the norm over the templates' words, all others."""
+        if not self.reach(self.idf.keys() & tokens(text)):
             return []
         parts = [(True, text)]
         if "\n" in text:
-            parts += [(False, x) for x in [*text.split("\n"), *(x for x in re.split(r"\n[ \t]*\n", text) if "\n" in x)] if ANCHOR.search(x)]
+            parts += [(False, x) for x in [*text.split("\n"), *(x for x in re.split(r"\n[ \t]*\n", text) if "\n" in x)]]
         found = []
         for whole, part in parts:
             count = Counter(tokens(part))
             own = {w: count.pop(w) * self.idf[w] for w in self.idf.keys() & count.keys()}
-            if own:
+            if own and self.reach(own.keys()):
                 dot, name = min(((math.fsum(x * own.get(w, 0.0) for w, x in vector.items()), name) for name, vector in self.vectors), key=lambda f: (-f[0], f[1]))
                 known = math.fsum(x * x for x in own.values())
-                found.append({"whole": whole, "dot": dot, "name": name, "known": known, "words": [{"word": w, "n": n} for w, n in count.items()]})
+                if dot * dot >= self.least * (known + sum(n * n for n in count.values())):  # the least idf is 1
+                    found.append({"whole": whole, "dot": dot, "name": name, "known": known, "words": [{"word": w, "n": n} for w, n in count.items()]})
         return found
 
 
@@ -136,7 +144,7 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None,
     frequencies = durable(_frequencies(files), "license-words")
     df = {r["word"]: r["n"] for r in frequencies.where(F.col("word").isin("", *vocabulary)).collect()}
     total = df.get("", 0)
-    model = Model(templates, {w: df.get(w, 0) for w in vocabulary}, total)
+    model = Model(templates, {w: df.get(w, 0) for w in vocabulary}, total, min(threshold, whole))
     kind = T._parse_datatype_string(f"units {UNITS}").fields[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

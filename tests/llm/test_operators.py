@@ -394,3 +394,8 @@ def own_licenses(spark, texts: list, **kw) -> list:
 
 def test_common_words_weigh_little_in_license_headers(spark):
     assert own_licenses(spark, ["code\nThis file is part of the project, you may use it under the MIT License\nmore", "You can use this project under the Apache License, Version 2.0, full details can be found in the file"]) == ["MIT", "Apache-2.0"]
+
+
+def test_license_lines_need_no_certain_word(spark):
+    assert own_licenses(spark, ["Creative Commons Attribution 4.0 International", "code\nCreative Commons Attribution-ShareAlike 4.0 International\nmore"]) == ["CC-BY-4.0", "CC-BY-SA-4.0"]
+    assert own_licenses(spark, ["x\nAll rights reserved by Foo\ny"], templates={"Foo": ("All rights reserved by Foo",)}) == ["Foo"]
