@@ -62,6 +62,11 @@ def zip_merge(spark, sf):
     return z.merge(members(spark, sf).where("archive < 'src2'"), "all.zip").select("archive", "from_archive", "ord", "name")
 
 
+@query("zip_merge_all", MEMBERS + "SELECT 'all.zip' AS archive, archive AS from_archive, row_number() OVER (ORDER BY archive, ord) - 1 AS ord, name FROM M")
+def zip_merge_all(spark, sf):
+    return z.merge(members(spark, sf), "all.zip").select("archive", "from_archive", "ord", "name")
+
+
 @query("zip_add_dup", """WITH A AS (SELECT p_brand AS archive, p_partkey AS ord, p_name || '.txt' AS name FROM part WHERE p_partkey % 2 = 0),
 B AS (SELECT p_brand AS archive, p_partkey AS ord, p_name || '.txt' AS name FROM part WHERE p_partkey % 2 = 1),
 T AS (SELECT DISTINCT archive, name FROM A), L AS (SELECT archive, max(ord) + 1 AS nxt FROM A GROUP BY archive),

@@ -123,3 +123,7 @@ _on_matrix("tensor_std", "SELECT round(stddev_pop(v), 6) AS v FROM E", lambda e:
 _on_matrix("tensor_all", "SELECT (CASE WHEN bool_and(v <> 0) THEN 1 ELSE 0 END)::DOUBLE AS v FROM E", lambda e: e.all())
 _on_matrix("tensor_any", "SELECT i0, (CASE WHEN bool_or(v > 0.9) THEN 1 ELSE 0 END)::DOUBLE AS v FROM E GROUP BY i0", lambda e: e.gt(0.9).any(1))
 _on_matrix("tensor_matmul", "SELECT a.i0, b.i0 AS i1, round(sum(a.v * b.v), 5) + 0.0 AS v FROM E a JOIN E b ON a.i1 = b.i1 WHERE a.i0 < 20 GROUP BY a.i0, b.i0", lambda e: (lambda x: x[:20].matmul(x.t()))(t.Tensor(e.base, e.index, e._number(), e.shape, "float64")), 5)
+
+# the whole matrix, where the query above has its first 20 rows
+_on_matrix("tensor_prod_all", "SELECT round(ln(product(1 + abs(v) / 10000)), 6) AS v FROM E", lambda e: t.Tensor(e.base, e.index, 1 + F.abs(e._number()) / 10000, e.shape, "float64").prod().log(), 6)
+_on_matrix("tensor_matmul_all", "SELECT a.i0, b.i0 AS i1, round(sum(a.v * b.v), 5) + 0.0 AS v FROM E a JOIN E b ON a.i1 = b.i1 GROUP BY a.i0, b.i0", lambda e: (lambda x: x.matmul(x.t()))(t.Tensor(e.base, e.index, e._number(), e.shape, "float64")), 5)
