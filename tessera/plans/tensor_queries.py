@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +12,16 @@ from ..operators import tensor as t
 from ..session import table
 from .registry import query
 
-ROWS, COLS = 500, 64
+COLS = 64
 E = "WITH E AS (SELECT vec_id AS i0, unnest(range(len(embedding))) AS i1, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)\n"
 F32 = "CAST(CAST({} AS FLOAT) AS DOUBLE)"
 
 
 def matrix(spark: SparkSession, sf: str) -> t.Tensor:
-    return t.from_rows(table(spark, sf, "embeddings"), "vec_id", "embedding", (ROWS, COLS))
+    """The table's rows up to the largest ``vec_id``."""
+    rows = table(spark, sf, "embeddings")
+    last = rows.agg(F.max("vec_id")).first()[0]
+    return t.from_rows(rows, "vec_id", "embedding", (0 if last is None else last + 1, COLS))
 
 
 def cells(x: t.Tensor, digits: int | None = None) -> DataFrame:
@@ -55,13 +60,13 @@ query("tensor_randn")(lambda s, sf: _random_facts(t.randn(s, 100, 100), -10, 10)
 query("tensor_randint")(lambda s, sf: _random_facts(t.randint(s, 5, 10, (100, 100)), 5, 9))
 
 # shape
-_on_matrix("tensor_view", "SELECT (i0 * 64 + i1) // 320 AS i0, (i0 * 64 + i1) // 20 % 16 AS i1, (i0 * 64 + i1) % 20 AS i2, v FROM E", lambda e: e.view(100, 16, -1))
+_on_matrix("tensor_view", "SELECT (i0 * 64 + i1) // 320 AS i0, (i0 * 64 + i1) // 20 % 16 AS i1, (i0 * 64 + i1) % 20 AS i2, v FROM E", lambda e: e.view(e.shape[0] // gcd(e.shape[0], 5), 16, -1))
 _on_matrix("tensor_transpose", "SELECT i1 AS i0, i0 AS i1, v FROM E", lambda e: e.transpose(0, 1))
 _on_matrix("tensor_t", "SELECT i1 AS i0, i0 AS i1, v FROM E", lambda e: e.t())
-_on_matrix("tensor_T", "SELECT i1 % 8 AS i0, i1 // 8 AS i1, i0 AS i2, v FROM E", lambda e: e.view(500, 8, 8).T)
-_on_matrix("tensor_permute", "SELECT i1 % 8 AS i0, i0 AS i1, i1 // 8 AS i2, v FROM E", lambda e: e.view(500, 8, 8).permute(-1, 0, 1))
+_on_matrix("tensor_T", "SELECT i1 % 8 AS i0, i1 // 8 AS i1, i0 AS i2, v FROM E", lambda e: e.view(-1, 8, 8).T)
+_on_matrix("tensor_permute", "SELECT i1 % 8 AS i0, i0 AS i1, i1 // 8 AS i2, v FROM E", lambda e: e.view(-1, 8, 8).permute(-1, 0, 1))
 _on_matrix("tensor_flatten", "SELECT i0 * 64 + i1 AS i0, v FROM E", lambda e: e.flatten())
-_on_matrix("tensor_squeeze", "SELECT i0, i1, v FROM E", lambda e: e.view(500, 1, 64, 1).squeeze())
+_on_matrix("tensor_squeeze", "SELECT i0, i1, v FROM E", lambda e: e.view(-1, 1, 64, 1).squeeze())
 _on_matrix("tensor_unsqueeze", "SELECT i0, 0::BIGINT AS i1, i1 AS i2, v FROM E", lambda e: e.unsqueeze(1))
 _on_matrix("tensor_cat", "SELECT i0, i1, v FROM E UNION ALL SELECT i0 + 500, i1, v FROM E", lambda e: t.cat([e, e]))
 _on_matrix("tensor_stack", "SELECT i0, 0::BIGINT AS i1, i1 AS i2, v FROM E UNION ALL SELECT i0, 1, i1, v FROM E", lambda e: t.stack([e, e], 1))

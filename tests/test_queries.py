@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 from tessera.plans import catalog
@@ -45,3 +46,20 @@ def test_whole_tables_are_used(spark, duck):
     assert catalog.QUERIES["tensor_matmul_all"](spark, SF).count() == duck.sql("SELECT count(*) * count(*) FROM embeddings").fetchall()[0][0]
     want = duck.sql("SELECT sum(ln(1 + abs(CAST(x AS DOUBLE)) / 10000)) FROM (SELECT unnest(embedding) AS x FROM embeddings)").fetchall()[0][0]
     assert abs(catalog.QUERIES["tensor_prod_all"](spark, SF).first()["v"] - want) < 1e-5
+
+
+def test_matrix_has_the_tables_rows(spark):
+    """On a table of 2,000 rows, four times the 500 of the smallest one."""
+    large = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{large}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r["embedding"] for r in rows], np.float32).astype(np.float64)
+    assert x.shape == (2000, 64)
+    run = lambda key: catalog.QUERIES[key](spark, large)
+    assert run("tensor_numel").first().asDict() == {"n_rows": 2000, "n_cols": 64, "numel": 128_000}
+    assert abs(run("tensor_mean").first()["v"] - x.mean()) < 1e-6
+    assert run("tensor_mean_int").first()["v"] == np.trunc(np.trunc(x * 100).sum() / x.size)
+    for key, want in (("tensor_split", x[1980:]), ("tensor_index", x[-3]), ("tensor_cat", np.concatenate((x, x))), ("tensor_view", x.reshape(400, 16, 20))):
+        got = run(key).toPandas()
+        at = tuple(got[f"i{k}"].to_numpy() for k in range(want.ndim))
+        assert len(got) == want.size == len(set(zip(*at))), key
+        assert np.array_equal(want[at], got["v"].to_numpy()), key
