@@ -8,7 +8,8 @@ items' word shingles with weights ln(1 + items / items that have it), their
 every value that near in each part finds all of them.
 
 Windows of an item's size (sizes are taken in steps of about 5 %) slide over
-every document by one word.  A window cannot be similar to an item unless the
+every document by one word; at its end they are cut, so that a passage shorter
+than its step is met at its own start.  A window cannot be similar to an item unless the
 shingles that it has from any item make up most of its weight, so others are
 passed over (``SLACK`` allows for the steps in size).  Items within the radius of a
 window are verified there: the weighted Jaccard similarity of the item's
@@ -76,6 +77,8 @@ class Model:
         self.sizes = sorted({x.size for x in self.items})
         step = {size: i for i, size in enumerate(self.sizes)}
         self.step = np.array([step[x.size] for x in self.items], np.int64)
+        self.fewest = np.full(len(self.sizes), np.iinfo(np.int64).max)  # words of a step's shortest item
+        np.minimum.at(self.fewest, self.step, np.array([x.n_words for x in self.items], np.int64))
         spread = radius // PARTS
         ball = np.array([x for x in range(256) if bin(x).count("1") <= spread], np.int64)
         # for each part: items under (size, value), for every value within the spread of theirs
@@ -159,11 +162,13 @@ def matches(model: Model, hashes: np.ndarray, similarity: float) -> dict[int, tu
                 if min(size, model.n) != short:
                     continue
                 wide = min(size - short + 1, len(own))  # shingles of a window; of the document if that is shorter
-                starts = np.arange(len(own) - wide + 1)
-                stops = starts + wide
-                starts = starts[hit_weight[stops] - hit_weight[starts] >= (similarity - SLACK) * (all_weight[stops] - all_weight[starts])]
+                least = min(int(model.fewest[step]) - short + 1, wide)  # an item below the step's size may end the text
+                starts = np.arange(len(own) - least + 1)
+                stops = np.minimum(starts + wide, len(own))
+                kept = hit_weight[stops] - hit_weight[starts] >= (similarity - SLACK) * (all_weight[stops] - all_weight[starts])
+                starts, stops = starts[kept], stops[kept]
                 begin.append(starts)
-                end.append(starts + wide)
+                end.append(stops)
                 which.append(np.full(len(starts), step))
             starts, stops, steps = (np.concatenate(x) for x in (begin, end, which))
             if not len(starts):

@@ -349,6 +349,14 @@ def test_contamination_equals_brute_force(spark, docs):
     assert got == want and len(want) > 8
 
 
+def test_items_that_end_a_document(spark):
+    items = {n: [f"w{n}x{k}" for k in range(n)] for n in (28, 38, 59, 59 * 2, 200)}
+    rows = [(n, " ".join(["some", "words", "before", *w])) for n, w in items.items()] + [(1000 + n, " ".join(["before", *w])) for n, w in items.items()]
+    found = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string"))
+    got = sorted((r["doc_id"], r["item_id"], r["similarity"], r["first_word"], r["n_words"]) for r in found.collect())
+    assert got == sorted([(n, n, 1.0, 3, n) for n in items] + [(1000 + n, n, 1.0, 1, n) for n in items])
+
+
 def words_bag(s: str) -> list:
     w = words_of(s)
     return [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
