@@ -2,7 +2,8 @@
 
 Benchmark items are taken in blocks of bounded size; each block's model goes to
 the executors, which read the documents once per block.  A model holds the
-items' word shingles with weights ln(1 + items / items that have it), their
+items' word shingles with weights ln(1 + items / items that have it), counted
+over the whole benchmark, their
 64-bit SimHashes, and an index of these by 8-bit parts: two fingerprints within
 ``radius`` differ in at most ``radius // 8`` bits of some part, so looking up
 every value that near in each part finds all of them.
@@ -57,15 +58,16 @@ class Item:
 class Model:
     """What executors need of a block of items."""
 
-    def __init__(self, items: list[tuple[int | None, str]], n: int, radius: int) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], n: int, radius: int, shared: tuple[int, np.ndarray, np.ndarray] | None = None) -> None:
         self.n, self.radius = n, radius
         raw, offsets = utf8(pa.array([x for _, x in items], pa.large_string()))
         h, at = words(raw, offsets)
         s, s_at = shingles(h, at, n)
         own = [np.unique(s[s_at[i] : s_at[i + 1]], return_counts=True) for i in range(len(items))]
         self.known, df = np.unique(np.concatenate([x for x, _ in own]) if own else np.empty(0, np.uint64), return_counts=True)
-        self.weight = np.log(1 + len(items) / df)
-        self.unknown = float(np.log(1 + len(items)))
+        total, self.rated, df = shared or (len(items), self.known[df > 1], df[df > 1])
+        self.weight = np.log(1 + total / df)
+        self.unknown = float(np.log(1 + total))  # also of shingles that one item has
         self.gate = np.zeros(1 << GATE_BITS, bool)
         self.gate[self.known >> np.uint64(64 - GATE_BITS)] = True
         self.items: list[Item] = []
@@ -77,8 +79,7 @@ class Model:
         self.sizes = sorted({x.size for x in self.items})
         step = {size: i for i, size in enumerate(self.sizes)}
         self.step = np.array([step[x.size] for x in self.items], np.int64)
-        self.fewest = np.full(len(self.sizes), np.iinfo(np.int64).max)  # words of a step's shortest item
-        np.minimum.at(self.fewest, self.step, np.array([x.n_words for x in self.items], np.int64))
+        self.fewest = [size if size <= 2 * n else int((size - 0.5) / 1.05**0.5) for size in self.sizes]  # words of a step's shortest item
         spread = radius // PARTS
         ball = np.array([x for x in range(256) if bin(x).count("1") <= spread], np.int64)
         # for each part: items under (size, value), for every value within the spread of theirs
@@ -95,10 +96,10 @@ class Model:
         return hit[self.known[np.minimum(np.searchsorted(self.known, s[hit]), len(self.known) - 1)] == s[hit]] if len(hit) else hit
 
     def weights(self, value: np.ndarray) -> np.ndarray:
-        if not len(self.known):
+        if not len(self.rated):
             return np.full(len(value), self.unknown)
-        at = np.minimum(np.searchsorted(self.known, value), len(self.known) - 1)
-        return np.where(self.known[at] == value, self.weight[at], self.unknown)
+        at = np.minimum(np.searchsorted(self.rated, value), len(self.rated) - 1)
+        return np.where(self.rated[at] == value, self.weight[at], self.unknown)
 
     def votes(self, value: np.ndarray) -> np.ndarray:
         bits = (mix(value)[:, None] >> _BITS) & np.uint64(1)
@@ -162,7 +163,7 @@ def matches(model: Model, hashes: np.ndarray, similarity: float) -> dict[int, tu
                 if min(size, model.n) != short:
                     continue
                 wide = min(size - short + 1, len(own))  # shingles of a window; of the document if that is shorter
-                least = min(int(model.fewest[step]) - short + 1, wide)  # an item below the step's size may end the text
+                least = min(model.fewest[step] - short + 1, wide)  # an item below the step's size may end the text
                 starts = np.arange(len(own) - least + 1)
                 stops = np.minimum(starts + wide, len(own))
                 kept = hit_weight[stops] - hit_weight[starts] >= (similarity - SLACK) * (all_weight[stops] - all_weight[starts])
@@ -174,8 +175,10 @@ def matches(model: Model, hashes: np.ndarray, similarity: float) -> dict[int, tu
             if not len(starts):
                 continue
             for w, i in zip(*model.near(steps, pack_bits(total[stops] - total[starts]))):
-                item, start = model.items[i], int(starts[w])
-                exact = own[start : start + item.n_words - short + 1]
+                item = model.items[i]
+                width = item.n_words - short + 1
+                start = max(0, min(int(starts[w]), len(own) - width))
+                exact = own[start : start + width]
                 value = model.similarity(item, exact)
                 if value >= similarity and value > best.get(i, (0.0,))[0]:
                     best[i] = (value, low + start, len(exact) + short - 1)
@@ -238,11 +241,27 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]
         yield held
 
 
+def _shared(benchmark: DataFrame, n: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many items there are; the shingles that several have, ascending, and how many do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, at = shingles(*words(*utf8(batch.column(0))), n)
+            own = [np.unique(s[a:b]) for a, b in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64) if own else [], pa.int64())], ["s"])
+
+    texts = benchmark.select(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    found = texts.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("df")).where("df > 1").toArrow()
+    hashes, df = found["s"].to_numpy().view(np.uint64), found["df"].to_numpy()
+    order = np.argsort(hashes)
+    return benchmark.count(), hashes[order], df[order]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): each item's best window in each document."""
-    out = None
+    out, shared = None, _shared(benchmark, n)
     for items in _item_blocks(benchmark):
-        found = _search(docs, Model(items, n, radius), similarity)
+        found = _search(docs, Model(items, n, radius, shared), similarity)
         out = found if out is None else out.unionAll(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], RESULT)
@@ -251,8 +270,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, similarity:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """``docs`` without the rows that hold an item; same columns, no shuffle."""
+    shared = _shared(benchmark, n)
     for items in _item_blocks(benchmark):
-        docs = _filter(docs, Model(items, n, radius), similarity)
+        docs = _filter(docs, Model(items, n, radius, shared), similarity)
     return docs
 
 

@@ -357,6 +357,17 @@ def test_items_that_end_a_document(spark):
     assert got == sorted([(n, n, 1.0, 3, n) for n in items] + [(1000 + n, n, 1.0, 1, n) for n in items])
 
 
+def test_similarity_does_not_depend_on_blocks(spark, docs, monkeypatch):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").limit(60)
+    rows = items.collect()
+    edited = [(r["item_id"], " ".join(["edit", *r["text"].split()[1:]])) for r in rows] + list(docs.items())
+    items = spark.createDataFrame([(r["item_id"], f"{r['text']} {rows[0]['text']}") for r in rows], "item_id long, text string").unionAll(items.select("item_id", "text"))
+    run = lambda: sorted(tuple(r) for r in decontam.contaminated(spark.createDataFrame(edited, "doc_id long, text string"), items).collect())
+    whole = run()
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 30)
+    assert whole and run() == whole
+
+
 def words_bag(s: str) -> list:
     w = words_of(s)
     return [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
