@@ -6,7 +6,7 @@ counted over all files.  The templates' words go to the executors, which find
 each unit's dot products; the frequencies of its other words, which only its norm
 needs, are joined to the units.  Units are left out only where that loses nothing:
 a cosine is at most the norm of the part of a template's vector whose words the
-unit has, and at most what it would be if all files had the unit's other words.
+unit has (and that at most the sum of each word's largest share in any template), and at most what it would be if all files had the unit's other words.
 A file none of whose units can reach a threshold has ``own_score`` 0.
 A file's own license is the template
 of the unit with the largest cosine, if that reaches ``threshold``.  Files that
@@ -39,15 +39,48 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .storage import durable, release
 
-# Short statements by which files name their license.
+# Public license texts, their titles, and statements by which files name a license.
+_BSD_GRANT = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT_GRANT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights '
+    "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+)
+_MIT_REST = (
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+)
 TEMPLATES = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004"),
-    "MIT": ("Released under the MIT License", "The MIT License (MIT). Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3", "GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2", "GNU General Public License as published by the Free Software Foundation, either version 2 of the License"),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3",),
-    "BSD-3-Clause": ("Released under the BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    "MIT": ("Released under the MIT License", "The MIT License (MIT). Permission is hereby granted, free of charge, to any person obtaining a copy of this software", _MIT_GRANT, _MIT_GRANT + _MIT_REST),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3", "GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2", "GNU General Public License as published by the Free Software Foundation, either version 2 of the License", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "LGPL-2.1": ("Licensed under the GNU Lesser General Public License, version 2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    "BSD-3-Clause": ("Released under the BSD 3-Clause License", _BSD_GRANT + _BSD_NAMES + _BSD_DISCLAIMER),
+    "BSD-2-Clause": ("Released under the BSD 2-Clause License", _BSD_GRANT + _BSD_DISCLAIMER),
+    "ISC": ("Released under the ISC License", _ISC),
+    "Unlicense": (_UNLICENSE,),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0", "Licensed under the Creative Commons Attribution 4.0 International License"),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0", "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "Licensed under the Creative Commons Attribution-NonCommercial 4.0 International License"),
@@ -74,6 +107,10 @@ class Model:
         self.idf = {w: math.log((1 + files) / (1 + n)) + 1 for w, n in df.items()}
         self.vectors = [(name, self.vector(Counter(tokens(x)))) for name, texts in templates.items() for x in texts]
         self.least = max(least, 0.0) ** 2 * (1 - 1e-9)
+        self.most: dict[str, float] = {}  # what a word adds at most to the square of any cosine
+        for _, vector in self.vectors:
+            for w, x in vector.items():
+                self.most[w] = max(self.most.get(w, 0.0), x * x)
 
     def vector(self, count: Counter) -> dict[str, float]:
         raw = {w: n * self.idf[w] for w, n in count.items()}
@@ -81,7 +118,9 @@ class Model:
         return {w: x / norm for w, x in raw.items()}
 
     def reach(self, words: Set[str]) -> bool:
-        """Whether a unit of some of these words can be near enough to a template."""
+        """Whether a unit of some of these words, all of them the templates', can be near enough to a template."""
+        if sum(self.most[w] for w in words) < self.least:
+            return False
         return any(sum(x * x for w, x in vector.items() if w in words) >= self.least for _, vector in self.vectors)
 
     def units(self, text: str) -> list[dict]:

@@ -55,9 +55,19 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def _path() -> Column:
+    """Documents have no paths, so ids make a tree: 64 to a directory, 8 of these to the one above.
+
+    The first document of each directory takes the place of its license file.
+    """
+    inner, outer = F.expr("doc_id div 64"), F.expr("doc_id div 512")
+    name = F.when(F.col("doc_id") % 512 == 0, F.concat(outer, F.lit("/LICENSE"))).when(F.col("doc_id") % 64 == 0, F.concat_ws("/", outer, inner, F.lit("LICENSE")))
+    return F.coalesce(name, F.concat(outer, F.lit("/"), inner, F.lit("/"), F.col("doc_id"), F.lit(".txt")))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    files = docs.select(F.col("doc_id").alias("key"), F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
+    files = docs.select(F.col("doc_id").alias("key"), _path().alias("path"), "text")
     return licenses.inherit(licenses.scan(files)).withColumnRenamed("key", "doc_id")
 
 
