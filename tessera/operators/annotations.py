@@ -11,6 +11,7 @@ from __future__ import annotations
 import random
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,17 +84,29 @@ def name_boxes(boxes: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.withColumn("label", F.coalesce("label", F.concat(F.lit("class_"), F.col("class_id").cast("string"))))
 
 
-def remap_lines(lines: DataFrame, mapping: Mapping[int, int]) -> DataFrame:
-    """``line`` with its first word mapped and white space made single.
+def _words(line: Column) -> Column:
+    return F.split(F.btrim(line, F.lit(" \t\r\n\x0b\x0c")), r"\s+")
+
+
+def first_number(line: Column) -> Column:
+    """A label line's class id, null if it begins with no whole number."""
+    return F.get(_words(line), F.lit(0)).try_cast("int")
+
+
+def remap_line(line: Column, mapping: Mapping[int, int]) -> Column:
+    """A line with its first word mapped and white space made single.
 
     Ids that the mapping lacks stay; lines that start with no number stay as they are.
     """
-    parts = F.split(F.btrim("line", F.lit(" \t\r\n\x0b\x0c")), r"\s+")
-    old = F.expr("try_cast(parts[0] AS int)")
+    parts, old = _words(line), first_number(line)
     table = F.create_map(*(F.lit(x) for pair in mapping.items() for x in pair)) if mapping else F.create_map().cast("map<int,int>")
-    new = F.coalesce(F.element_at(table, old), old)
-    line = F.when(old.isNull(), F.col("line")).otherwise(F.concat_ws(" ", new.cast("string"), F.slice("parts", 2, F.size("parts"))))
-    return lines.withColumn("parts", parts).withColumn("line", line).drop("parts")
+    new = F.coalesce(F.try_element_at(table, old), old)
+    return F.when(old.isNull(), line).otherwise(F.concat_ws(" ", new.cast("string"), F.slice(parts, 2, F.size(parts))))
+
+
+def remap_lines(lines: DataFrame, mapping: Mapping[int, int]) -> DataFrame:
+    """``line`` by ``remap_line``."""
+    return lines.withColumn("line", remap_line(F.col("line"), mapping))
 
 
 # -- partitions -----------------------------------------------------------
@@ -148,19 +161,23 @@ def partition(images: DataFrame, key: str, ratios: Sequence[float], seed: int =
 repartition = partition  # earlier splits are ignored
 
 
-def partition_like_python(images: DataFrame, order: Sequence[str], ratios: Sequence[float], seed: int = 42) -> DataFrame:
-    """As ``partition``, by Python's own shuffle of the rows in ``order``.
+def shuffled_like_python(images: DataFrame, order: Sequence[str], seed: int = 42) -> DataFrame:
+    """Adds ``pos``: places after Python's own shuffle of the rows in ``order``.
 
-    The permutation is made on the driver, eight bytes for each image.
+    The permutation is made on the driver, 16 bytes for each image, as exact
+    parity with that shuffle needs it; ``hash_order`` does without.
     """
-    total = images.count()
-    n_train, n_val, _ = cuts(total, validate.partition_ratios(ratios))
-    places = list(range(total))
+    places = list(range(images.count()))
     random.Random(seed).shuffle(places)
-    table = images.sparkSession.createDataFrame([(old, new) for new, old in enumerate(places)], "pos bigint, new bigint")
-    split = F.when(F.col("new") < n_train, "train").when(F.col("new") < n_train + n_val, "val").otherwise("test")
-    out = ranked(images.drop("split"), [F.col(c) for c in order]).join(table, "pos")
-    return out.withColumn("split", split).drop("pos").withColumnRenamed("new", "pos")
+    table = images.sparkSession.createDataFrame(pa.table({"pos": pa.array(places, pa.int64()), "new": pa.array(range(len(places)), pa.int64())}))
+    return ranked(images, [F.col(c) for c in order]).join(table, "pos").drop("pos").withColumnRenamed("new", "pos")
+
+
+def partition_like_python(images: DataFrame, order: Sequence[str], ratios: Sequence[float], seed: int = 42) -> DataFrame:
+    """As ``partition``, by Python's own shuffle of the rows in ``order``."""
+    n_train, n_val, _ = cuts(images.count(), validate.partition_ratios(ratios))
+    split = F.when(F.col("pos") < n_train, "train").when(F.col("pos") < n_train + n_val, "val").otherwise("test")
+    return shuffled_like_python(images.drop("split"), order, seed).withColumn("split", split)
 
 
 def partition_counts(total: int, ratios: Sequence[float]) -> dict[str, int]:
@@ -183,15 +200,24 @@ def unpartition(images: DataFrame, order: str, keep: str = "last") -> DataFrame:
 
 def split_by_ratio(images: DataFrame, key: str, ratios: Sequence[float], seed: int = 42) -> DataFrame:
     """Adds ``part``: as many parts as ratios; the last takes what is left."""
+    return ranked(images, hash_order(F.col(key), seed)).withColumn("part", _part(images.count(), ratios))
+
+
+def split_like_python(images: DataFrame, order: Sequence[str], ratios: Sequence[float], seed: int = 42) -> DataFrame:
+    """As ``split_by_ratio``, by Python's own shuffle of the rows in ``order``."""
+    return shuffled_like_python(images, order, seed).withColumn("part", _part(images.count(), ratios))
+
+
+def _part(total: int, ratios: Sequence[float]) -> Column:
     ratios = validate.split_ratios(ratios)
-    total, low, part = images.count(), 0, F.lit(len(ratios) - 1)
+    low, part = 0, F.lit(len(ratios) - 1)
     bounds = []
     for r in ratios[:-1]:
         low += int(total * r)
         bounds.append(low)
     for k, bound in reversed(list(enumerate(bounds))):
         part = F.when(F.col("pos") < bound, k).otherwise(part)
-    return ranked(images, hash_order(F.col(key), seed)).withColumn("part", part)
+    return part
 
 
 def split_by_groups(boxes: DataFrame, groups: Sequence[Sequence[int]]) -> DataFrame:

@@ -44,6 +44,19 @@ def split_ratios(ratios: Sequence[float]) -> tuple[float, ...]:
     return tuple(float(r) for r in ratios)
 
 
+def split_mode(by_class: bool, ratios: Sequence[float] | None, class_groups: Sequence | None) -> None:
+    """At least one way to split; groups are lists with classes in them."""
+    check_type(by_class, bool, "by_class")
+    if class_groups is not None:
+        check_type(class_groups, (list, tuple), "class_groups")
+        if not class_groups or not all(isinstance(g, (list, tuple)) and g and all(isinstance(c, str) for c in g) for g in class_groups):
+            raise ValueError("class_groups are lists of class names")
+    elif not by_class:
+        if ratios is None:
+            raise ValueError("split by classes, groups or ratios")
+        split_ratios(ratios)
+
+
 def class_map(mapping: Mapping, names: Sequence[str]) -> dict[int, int | str]:
     """Keys as ids; unknown names, ids out of range and other types raise."""
     check_type(mapping, Mapping, "class_map")
