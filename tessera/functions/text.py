@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,13 +65,10 @@ def human_size(n: Column) -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """A number with so many decimals, exact ties to even; null stays null.
+    """A number below 10^15 with so many decimals, exact ties to even; null stays null.
 
-    Java rounds the shortest decimal text half up, so this goes through Python.
+    ``format_number`` rounds the double's exact value; only its grouping marks are in the way.
     """
-
-    @F.pandas_udf("string")
-    def write(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if pd.isna(v) else f"{v:.{digits}f}")
-
-    return write(x.cast("double"))
+    x = x.cast("double")
+    plain = F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+    return F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(plain)

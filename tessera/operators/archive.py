@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from .annotations import ranked
 
 KEY = ("archive", "ord")
 
@@ -82,28 +83,29 @@ def add(members: DataFrame, files: DataFrame) -> DataFrame:
 
 def merge(archives: DataFrame, target: str) -> DataFrame:
     """Members of all archives in one, in order of archive and place; duplicates stay."""
-    order = F.row_number().over(Window.partitionBy(F.lit(target)).orderBy("archive", "ord")) - 1
-    return archives.withColumn("from_archive", F.col("archive")).withColumn("ord", order.cast("bigint")).withColumn("archive", F.lit(target))
+    placed = ranked(archives, [F.col("archive"), F.col("ord")])
+    return placed.withColumns({"from_archive": F.col("archive"), "ord": F.col("pos"), "archive": F.lit(target)}).drop("pos")
 
 
 def split_by_size(members: DataFrame, limit: int) -> DataFrame:
     """Adds ``part`` (from 1): members go to the open part in order until the next does not fit.
 
-    A member larger than ``limit`` has a part of its own.  The running sum
+    A part that has members is closed when the next does not fit, be they all
+    empty; so a member larger than ``limit`` has a part of its own.  The running sum
     depends on every earlier cut, so an archive is folded by one task, which
     reads only places and sizes.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        archive, part, used = None, 0, 0
+        archive, part, used, count = None, 0, 0, 0
         for batch in batches:
             parts = []
             for a, size in zip(batch["archive"], batch["compress_size"]):
                 if a != archive:
-                    archive, part, used = a, 1, 0
-                elif used + size > limit and used > 0:
-                    part, used = part + 1, 0
-                used += size
+                    archive, part, used, count = a, 1, 0, 0
+                elif used + size > limit and count:
+                    part, used, count = part + 1, 0, 0
+                used, count = used + size, count + 1
                 parts.append(part)
             yield pd.DataFrame({"archive": batch["archive"], "ord": batch["ord"], "part": parts})
 

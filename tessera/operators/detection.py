@@ -11,10 +11,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import validate
 from ..functions.text import fixed
+from .annotations import ranked
 
 SCHEMA = "source string, frame_index bigint, det_index int, x1 double, y1 double, x2 double, y2 double, score double, label string"
 Detector = Callable[..., list[tuple[float, float, float, float, float, str]]]
@@ -78,15 +78,15 @@ def normalise(boxes: DataFrame, width: Column, height: Column) -> DataFrame:
 def class_registry(detections: DataFrame, order: tuple[str, ...] = ("frame_index", "det_index")) -> DataFrame:
     """(label, class_id): ids by first appearance.
 
-    First places are minima, one row a label; only these few rows meet in one task.
+    First places are minima, one row a label; labels are ranked by ranges.
     """
     first = detections.groupBy(F.lower(F.trim("label")).alias("label")).agg(F.min(F.struct(*order)).alias("first"))
-    return first.select("label", (F.row_number().over(Window.orderBy("first", "label")) - 1).cast("int").alias("class_id"))
+    return ranked(first, [F.col(f"first.{c}") for c in order] + [F.col("label")]).select("label", F.col("pos").cast("int").alias("class_id"))
 
 
 def yolo_lines(detections: DataFrame, width: Column, height: Column) -> DataFrame:
     """(source, frame_index, det_index, line): label lines with six decimals."""
-    boxes = normalise(detections, width, height).join(F.broadcast(class_registry(detections)), "label")
+    boxes = normalise(detections, width, height).join(class_registry(detections), "label")  # broadcast if Spark finds it small
     line = F.concat_ws(" ", F.col("class_id").cast("string"), *(fixed(F.col(c), 6) for c in ("xc", "yc", "w", "h")))
     return boxes.select("source", "frame_index", "det_index", line.alias("line"))
 

@@ -46,10 +46,12 @@ def crop_pixels(boxes: DataFrame) -> DataFrame:
 def grid_layout(images: DataFrame, columns: int, rows: int | None = None, order: str = "pos") -> DataFrame:
     """Place of each image (``width``, ``height``) in a grid of equal cells, centred.
 
-    ``order`` is the image's 0-based place; images beyond the grid are left out.
+    ``order`` is the image's 0-based place; images beyond the grid are left out, and no images raise.
     """
     if columns <= 0 or (rows is not None and rows <= 0):
         raise ValueError("grid values must be positive")
+    if images.isEmpty():
+        raise ValueError("a grid needs images")
     chosen = images.where(F.col(order) < columns * rows) if rows else images
     cell = chosen.agg(F.max("width").alias("cell_w"), F.max("height").alias("cell_h"))
     col, row = F.col(order) % columns, F.call_function("div", F.col(order), F.lit(columns))

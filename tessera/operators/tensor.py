@@ -17,12 +17,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ieee
 from ..functions.types import SPARK_TYPES, dtype_of, fill, from_double, is_float, promote, to_double
 
+#: Rows and columns of the blocks that a task multiplies.
+BLOCK = 256
+
 
 def strides(shape: Sequence[int]) -> tuple[int, ...]:
     out, step = [], 1
@@ -387,13 +392,38 @@ class Tensor:
         return self._reduce(lambda v: F.coalesce(F.bool_or(v != 0), F.lit(False)), "bool", dim)
 
     def matmul(self, other: Tensor) -> Tensor:
-        """Rows by columns: a join on the shared index and a sum per cell."""
+        """Rows by columns, in blocks: a task multiplies two blocks, and partial products are summed by cell.
+
+        A block of either side is copied once for each block that it meets, so with blocks of
+        ``BLOCK`` x ``BLOCK`` a value moves n / ``BLOCK`` times and no key is shared by more than
+        two blocks.  Cells that a sparse side lacks count as 0.
+        """
         if self.ndim != 2 or other.ndim != 2 or self.shape[1] != other.shape[0]:
             raise ValueError("matmul needs (n, k) and (k, m)")
         dtype = promote(self.dtype, other.dtype)
-        a = self.base.select(self.index[0].alias("i0"), self.index[1].alias("k"), self._number().alias("v"))
-        b = other.base.select(other.index[0].alias("k"), other.index[1].alias("i1"), other._number().alias("w"))
-        out = a.join(b, "k").groupBy("i0", "i1").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+        block = lambda c: _div(c, BLOCK)
+        a = self.base.select(self.index[0].alias("i"), self.index[1].alias("k"), self._number().alias("v"))
+        b = other.base.select(other.index[1].alias("i"), other.index[0].alias("k"), other._number().alias("v"))
+        across = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-n // BLOCK) - 1))).cast("array<bigint>"))
+        left = a.select(block(F.col("i")).alias("bi"), across(other.shape[1]).alias("bj"), block(F.col("k")).alias("bk"), F.lit(0).alias("side"), "i", "k", "v")
+        right = b.select(across(self.shape[0]).alias("bi"), block(F.col("i")).alias("bj"), block(F.col("k")).alias("bk"), F.lit(1).alias("side"), "i", "k", "v")
+
+        def multiply(table: pa.Table) -> pa.Table:
+            side, i, k, v = (table[c].to_numpy() for c in ("side", "i", "k", "v"))
+            at = int(table["bi"][0].as_py()) * BLOCK, int(table["bj"][0].as_py()) * BLOCK, int(table["bk"][0].as_py()) * BLOCK
+            parts = []
+            for s in (0, 1):
+                own = side == s
+                dense = np.zeros((BLOCK, BLOCK))
+                dense[i[own] - at[s], k[own] - at[2]] = v[own]
+                parts.append((dense, np.unique(i[own])))
+            (x, rows), (y, cols) = parts
+            found = x[rows - at[0]] @ y[cols - at[1]].T
+            return pa.table({"i0": np.repeat(rows, len(cols)), "i1": np.tile(cols, len(rows)), "v": found.ravel()})
+
+        out = left.unionAll(right).groupBy("bi", "bj", "bk").applyInArrow(multiply, "i0 long, i1 long, v double")
+        if self.shape[1] > BLOCK:
+            out = out.groupBy("i0", "i1").agg(F.sum("v").alias("v"))
         return Tensor(out, (F.col("i0"), F.col("i1")), from_double(F.col("v"), dtype), (self.shape[0], other.shape[1]), dtype)
 
     __matmul__ = matmul
@@ -561,13 +591,13 @@ def from_rows(rows: DataFrame, row: str, array: str, shape: tuple[int, int], dty
 def from_columns(table: DataFrame, order: Sequence[str], **columns: str) -> dict[str, Tensor]:
     """Columns of a table as aligned vectors; element-wise work on them needs no join.
 
-    The index is the row's rank under ``order``, taken only when asked for.
+    The index is the row's rank under ``order``, counted by ranges.
     """
-    from pyspark.sql.window import Window
+    from .annotations import ranked
 
     n = table.count()
-    rank = (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint")
-    return {name: Tensor(table, (rank,), F.col(name), (n,), dtype_of(dtype)) for name, dtype in columns.items()}
+    placed = ranked(table, [F.col(c) for c in order]).withColumnRenamed("pos", "__index")
+    return {name: Tensor(placed, (F.col("__index"),), F.col(name), (n,), dtype_of(dtype)) for name, dtype in columns.items()}
 
 
 # -- joining tensors ------------------------------------------------------

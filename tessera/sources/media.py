@@ -7,19 +7,33 @@ import os
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators import annotations
+from . import files
 
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".webp", ".tif", ".tiff")
-VIDEO_SUFFIXES = (".mp4", ".avi", ".mov", ".mkv", ".wmv", ".flv")
+VIDEO_SUFFIXES = (".avi", ".m4v", ".mkv", ".mov", ".mp4", ".webm")
 
 
 def read_images(spark: SparkSession, source: str, recursive: bool = False) -> DataFrame:
-    """(path, image): decoded images of a file or folder; the image struct is Spark's, in BGR."""
-    reader = spark.read.format("image").option("dropInvalid", "true")
+    """(path, image): decoded images of a file or folder, in order of lower-cased path.
+
+    The image struct is Spark's, in BGR.  A file with an image's suffix that cannot be decoded
+    raises when it is read; Java decodes JPEG, PNG, BMP, GIF and TIFF, so WebP needs a plug-in of its ImageIO.
+    """
+    kind = files.kind(source)
+    if kind is None:
+        raise FileNotFoundError(f"no such source: {source}")
+    suffixes = "(" + "|".join(s.replace(".", r"\.") for s in IMAGE_SUFFIXES) + ")$"
+    named = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive or kind == "file").lower()).load(str(source)).where(F.lower("path").rlike(suffixes))
+    if named.select("path").isEmpty():
+        raise ValueError(f"no image files: {source}")
+    reader = spark.read.format("image").option("dropInvalid", "false")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    found = reader.load(source).select(F.col("image.origin").alias("path"), "image")
-    return found.where(F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in IMAGE_SUFFIXES) + ")$")).orderBy(F.lower("path"))
+    found = reader.load(str(source)).select(F.col("image.origin").alias("path"), "image").where(F.lower("path").rlike(suffixes))
+    unreadable = F.raise_error(F.concat(F.lit("could not read image: "), "path")).cast("int")
+    return found.where(F.when(F.col("image.nChannels") > 0, F.lit(1)).otherwise(unreadable) == 1).orderBy(F.lower("path"))
 
 
 def to_rgb(image: DataFrame) -> DataFrame:
@@ -42,9 +56,15 @@ def is_video(path: str) -> bool:
 
 
 def frames(rows: DataFrame, source: str, order: str) -> DataFrame:
-    """Numbers rows as frames of their source, in order; a source is one stream."""
-    index = F.row_number().over(Window.partitionBy(source).orderBy(order)) - 1
-    return rows.withColumn("frame_index", index.cast("bigint")).withColumnRenamed(source, "source")
+    """Numbers rows as frames of their source, in order.
+
+    Rows are ranked by ranges of (source, order), so a stream that holds most rows is no single task.
+    """
+    placed = annotations.ranked(rows, [F.col(source), F.col(order)])
+    first = placed.groupBy(source).agg(F.min("pos").alias("__first"))
+    same = F.col(f"p.`{source}`").eqNullSafe(F.col(f"f.`{source}`"))
+    numbered = placed.alias("p").join(first.alias("f"), same).select("p.*", (F.col("pos") - F.col("__first")).alias("frame_index")).drop("pos")
+    return numbered.withColumnRenamed(source, "source")
 
 
 def from_video(spark: SparkSession, path: str) -> DataFrame:
