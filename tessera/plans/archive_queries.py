@@ -37,7 +37,7 @@ def zip_info(spark, sf):
     return z.info(members(spark, sf))
 
 
-@query("zip_test")
+@query("zip_test", "SELECT source AS archive, arg_min(CAST(doc_id AS VARCHAR), doc_id) AS name FROM documents WHERE doc_id % 40 = 0 AND text <> '' GROUP BY source")  # the others' checksums are their own
 def zip_test(spark, sf):
     docs = table(spark, sf, "documents")
     stored = docs.select(F.col("source").alias("archive"), F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("name"), F.col("text").cast("binary").alias("content"), F.when(F.col("doc_id") % 40 == 0, 0).otherwise(F.crc32("text")).alias("crc"))
@@ -81,7 +81,7 @@ def zip_add_dup(spark, sf):
 F AS (
   SELECT archive, ord, k, 1::BIGINT AS part, compress_size AS used FROM O WHERE k = 1
   UNION ALL
-  SELECT O.archive, O.ord, O.k, CASE WHEN F.used + O.compress_size > 20000 AND F.used > 0 THEN F.part + 1 ELSE F.part END, CASE WHEN F.used + O.compress_size > 20000 AND F.used > 0 THEN O.compress_size ELSE F.used + O.compress_size END
+  SELECT O.archive, O.ord, O.k, CASE WHEN F.used + O.compress_size > 20000 THEN F.part + 1 ELSE F.part END, CASE WHEN F.used + O.compress_size > 20000 THEN O.compress_size ELSE F.used + O.compress_size END
   FROM F JOIN O ON O.archive = F.archive AND O.k = F.k + 1)
 SELECT archive, ord, part, archive || '_part_' || lpad(CAST(part AS VARCHAR), 3, '0') || '.zip' AS file FROM F""")
 def zip_next_fit(spark, sf):
@@ -91,6 +91,14 @@ def zip_next_fit(spark, sf):
 from .registry import ORACLES  # noqa: E402
 
 ORACLES["zip_next_fit"] = ORACLES["zip_next_fit"].replace("WITH M AS", "WITH RECURSIVE M AS", 1)
+#: Sizes with empty members and with members over the limit.
+UNEVEN = "CASE ord % 3 WHEN 0 THEN 0 WHEN 1 THEN 30000 ELSE compress_size END"
+
+
+@query("zip_next_fit_empty", ORACLES["zip_next_fit"].replace("(SELECT archive, ord, compress_size, ", f"(SELECT archive, ord, {UNEVEN} AS compress_size, ").replace("O AS (SELECT archive, ord, compress_size,", f"O AS (SELECT archive, ord, CAST({UNEVEN} AS BIGINT) AS compress_size,"))
+def zip_next_fit_empty(spark, sf):
+    own = members(spark, sf).withColumn("compress_size", F.expr(f"CAST({UNEVEN} AS BIGINT)"))
+    return z.split_by_size(own, 20_000).select("archive", "ord", "part", z.part_name(F.col("archive"), F.col("part")).alias("file"))
 
 
 @query("human_size", """WITH S AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey * l_partkey * (1::BIGINT << (3 * l_linenumber))) AS n FROM lineitem),

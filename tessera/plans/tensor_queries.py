@@ -50,14 +50,17 @@ _on_matrix("tensor_zeros_like", "SELECT i0, i1, 0.0::DOUBLE AS v FROM E", t.zero
 _on_matrix("tensor_ones_like", "SELECT i0, i1, 1.0::DOUBLE AS v FROM E", t.ones_like)
 
 
+RANDOM = "SELECT 10000::BIGINT AS n, true AS inside"
+
+
 def _random_facts(x: t.Tensor, low: float, high: float) -> DataFrame:
     """Count and range check: the values themselves come from Spark's generator."""
     return x.base.agg(F.count("*").alias("n"), F.coalesce(F.bool_and((x.value >= low) & (x.value <= high)), F.lit(True)).alias("inside"))
 
 
-query("tensor_rand")(lambda s, sf: _random_facts(t.rand(s, 100, 100), 0, 1))
-query("tensor_randn")(lambda s, sf: _random_facts(t.randn(s, 100, 100), -10, 10))
-query("tensor_randint")(lambda s, sf: _random_facts(t.randint(s, 5, 10, (100, 100)), 5, 9))
+query("tensor_rand", RANDOM)(lambda s, sf: _random_facts(t.rand(s, 100, 100), 0, 1))
+query("tensor_randn", RANDOM)(lambda s, sf: _random_facts(t.randn(s, 100, 100), -10, 10))
+query("tensor_randint", RANDOM)(lambda s, sf: _random_facts(t.randint(s, 5, 10, (100, 100)), 5, 9))
 
 # shape
 _on_matrix("tensor_view", "SELECT (i0 * 64 + i1) // 320 AS i0, (i0 * 64 + i1) // 20 % 16 AS i1, (i0 * 64 + i1) % 20 AS i2, v FROM E", lambda e: e.view(e.shape[0] // gcd(e.shape[0], 5), 16, -1))
