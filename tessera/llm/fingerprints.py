@@ -113,6 +113,26 @@ RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 FLUSH_CHARS = 2_000_000
 
 
+def _range_ends(source: DataFrame, width: int) -> tuple[np.ndarray, int | None]:
+    """Ids of the table that cut it into some ``width`` ranges of like size, ascending, and the largest id.
+
+    Quantiles are of doubles, which tell ids apart only up to 2^53; so they are taken
+    of the distance from the least id, and each gives way to the next id that there is.
+    """
+    span = source.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).first()
+    least, most = span["least"], span["most"]
+    if least is None or width < 2:
+        return np.empty(0, np.int64), most
+    distance = (F.col("doc_id").cast("decimal(20,0)") - F.lit(least).cast("decimal(20,0)")).cast("double")
+    steps = F.array(*(F.lit(i / width) for i in range(1, width)))
+    cuts = sorted({least + int(x) for x in source.agg(F.percentile_approx(distance, steps, 100 * width).alias("at")).first()["at"]} - {least})
+    if not cuts:
+        return np.empty(0, np.int64), most
+    place = F.size(F.filter(F.array(*(F.lit(x) for x in cuts)), lambda x: x <= F.col("doc_id")))
+    found = source.where("doc_id is not null").groupBy(place.alias("place")).agg(F.min("doc_id").alias("first")).collect()  # a row for each range
+    return np.array(sorted(r["first"] for r in found if least < r["first"] < most), np.int64), most
+
+
 def fingerprint_with_edits(docs: DataFrame, n: int = 5, samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of each text, of its edit, and their likeness; also to the next text.
 
@@ -124,10 +144,7 @@ def fingerprint_with_edits(docs: DataFrame, n: int = 5, samples: int = SAMPLES)
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     width = shuffle_width(spark)
-    steps = F.array(*(F.lit(i / width) for i in range(1, width))) if width > 1 else F.array(F.lit(0.5))
-    row = source.agg(F.percentile_approx("doc_id", steps, 100 * width).alias("ends"), F.max("doc_id").alias("most")).first()
-    most = row["most"]
-    ends = np.array(sorted({x for x in row["ends"] or () if x < most}), np.int64)
+    ends, most = _range_ends(source, width)
     last = len(ends)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
