@@ -8,7 +8,8 @@ only the others go to the executors, where a document's score is the logistic
 function of the sum of its features' weights.
 
 At most ``SAMPLE`` labelled rows of either label are learned from, picked by a
-hash of their id.  Scoring reads every document once.
+hash of their id, with ``FEATURES`` features at most (4 bytes each on the driver); of
+several texts under a ``doc_id`` the first in order is learned from.  Scoring reads every document once.
 
 Cases: null and empty texts have no features and the score of the bias alone;
 labels that are null or for unknown documents teach nothing; without labels
@@ -27,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import durable, release
 from .text import blocks, hash_words, mix, utf8, word_spans
 
 #: Most labelled rows of either label, passes over them, and bits of a feature's number.
 SAMPLE, PASSES, BITS = 3000, 5, 20
+#: Most features of all sampled documents together; in the order of the hash, documents beyond are not learned from.
+FEATURES = 40_000_000
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
 STEMS = (4, 6)
 _SALT = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -97,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("y = 1").orderBy(*order).limit(sample).unionAll(known.where("y = 0").orderBy(*order).limit(sample))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +113,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
                 out += [number[at[d] : at[d + 1]].astype("<i4").tobytes() for d in range(b - a)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "y", "x"])
 
-    found = rows.mapInArrow(run, "doc_id long, y int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    made = durable(rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x binary"), "toxic-features")
+    held, used = [], 0
+    for r in made.select("doc_id", "y", F.length("x").alias("size")).orderBy(*order, "y").collect():  # 2 * sample rows at most
+        used += r["size"] // 4
+        if used <= FEATURES:
+            held.append((r["doc_id"], r["y"]))
+    if used > FEATURES:
+        made = made.join(F.broadcast(docs.sparkSession.createDataFrame(held, "doc_id long, y int")), ["doc_id", "y"])
+    found = made.select("doc_id", "y", "x").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    release(made)
     x = [np.frombuffer(v, "<i4") for v in found["x"].to_pylist()]
     y = found["y"].to_numpy()
     mixed = np.random.default_rng(3).permutation(len(x))
