@@ -4,11 +4,11 @@ Training counts hashed byte trigrams of words for each language, over at most
 ``PER_LANGUAGE`` documents of each, picked by a hash of their id.  A document is
 a mixture of languages whose words each come from one of them;
 expectation-maximisation estimates the shares from the words' trigram
-likelihoods.  Languages then leave in order of their share as long as that
+likelihoods, until no share of a document moves by ``SETTLED`` any more.  Languages then leave in order of their share as long as that
 lowers the penalised likelihood ``-2 ln L + k ln(words)``; what remains is the
 document's language set, and the largest share names its language.
 
-Cases: null and empty texts and texts without a letter are ``und`` with score
+Cases: null and empty texts and texts without a letter (``str.isalpha``) are ``und`` with score
 0, and so is every text when no labelled document has a letter; ties go to the
 language that sorts first; repeated rows are each predicted; rows with a null
 ``doc_id`` are predicted but not learned from; an empty table gives an empty
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import durable
+from .storage import durable, release
 from .text import blocks, tidy, utf8
 
 #: Most labelled documents that are learned from, for each language.
@@ -39,8 +39,9 @@ BUCKET_BITS = 16
 SMOOTHING = 0.5
 #: Words' log-likelihoods are scaled by this: their trigrams overlap.
 TEMPER = 0.5
-ROUNDS, MORE_ROUNDS = 6, 3
-LETTER = re.compile(r"[^\W\d_]")
+#: Shares that move less have settled; and most rounds of a document, should they not.
+SETTLED, MOST_ROUNDS = 0.01, 50
+LETTER = re.compile(r"[^\W\d_]")  # numbers that are no digits, such as fractions, match too
 BLOCK = 2 << 20
 
 _KIND = np.full(256, 0x20, np.uint8)  # what is no letter separates words
@@ -49,6 +50,10 @@ _KIND[0x41:0x5B] = np.arange(0x61, 0x7B)
 _KIND[0x80:] = np.arange(0x80, 0x100)
 
 
+def has_letter(text: str | None) -> bool:
+    return any(m.group().isalpha() for m in LETTER.finditer(text or ""))
+
+
 def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Trigram buckets in order, where each word's begin, and where each document's words begin.
 
@@ -76,6 +81,14 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return bucket.astype(np.int64), np.concatenate((first, [len(at)])), np.searchsorted(at[first], offsets)
 
 
+def _only(docs: np.ndarray, like: np.ndarray, who: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of some documents: likelihoods, numbers of the documents from 0, where each begins, and how many."""
+    kept = np.zeros(len(count), bool)
+    kept[docs] = True
+    many = count[docs]
+    return like[:, kept[who]], np.repeat(np.arange(len(docs)), many), np.cumsum(many) - many, many
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -91,29 +104,40 @@ class Model:
             return shares
         full = np.flatnonzero(count)
         starts = doc_at[:-1][full]
-        who = np.repeat(np.arange(len(full)), count[full])
         ll = np.stack([np.add.reduceat(self.log_p[bucket, i], word_at[:-1]) for i in range(n_langs)]) * TEMPER
         top = ll.max(0)
-        like = np.exp(ll - top)  # language x word
+        like = np.maximum(np.exp(ll - top), 1e-300)  # language x word; what remains of a set must explain all words
         pi = np.full((n_langs, len(full)), 1.0 / n_langs)
         alive = np.ones((n_langs, len(full)), bool)
 
-        def improve(pi: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-            total = None
-            for _ in range(rounds):
-                part = like * pi[:, who]
-                total = part.sum(0)
-                part /= total
-                pi = np.add.reduceat(part, starts, axis=1) / count[full]
+        def improve(pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Shares that have settled, and the log-likelihood of each document."""
+            pi = pi.copy()
+            live = np.flatnonzero((pi > 0).sum(0) > 1)  # a single language has nothing to share
+            own, owner, first, many = like, who, starts, count[full]
+            if len(live) < len(full):
+                own, owner, first, many = _only(live, like, who, count[full])
+            for _ in range(MOST_ROUNDS):
+                if not len(live):
+                    break
+                part = own * pi[:, live][:, owner]
+                part /= part.sum(0)
+                new = np.add.reduceat(part, first, axis=1) / many
+                moving = np.flatnonzero(np.abs(new - pi[:, live]).max(0) >= SETTLED)
+                pi[:, live] = new
+                if len(moving) < len(live):
+                    own, owner, first, many = _only(moving, own, owner, many)
+                    live = live[moving]
             return pi, np.add.reduceat(np.log((like * pi[:, who]).sum(0)), starts)
 
-        pi, fit = improve(pi, ROUNDS)
+        who = np.repeat(np.arange(len(full)), count[full])
+        pi, fit = improve(pi)
         best, best_cost = pi, -2 * fit + n_langs * np.log(count[full])
         for k in range(n_langs - 1, 0, -1):
             low = np.where(alive, pi, np.inf).argmin(0)
             alive[low, np.arange(len(full))] = False
             pi = np.where(alive, np.maximum(pi, 1e-12), 0)
-            pi, fit = improve(pi / pi.sum(0), MORE_ROUNDS if k > 1 else 1)
+            pi, fit = improve(pi / pi.sum(0))
             cost = -2 * fit + k * np.log(count[full])
             best, best_cost = np.where(cost < best_cost, pi, best), np.minimum(cost, best_cost)
         shares[full] = best.T
@@ -146,6 +170,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bucket", "n"])
 
     counted = picked.select("lang", "text").mapInArrow(tidy(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    release(picks)
     languages = sorted(set(counted["lang"].to_pylist()))
     table = np.full((1 << BUCKET_BITS, len(languages)), SMOOTHING)
     where = {lang: i for i, lang in enumerate(languages)}
@@ -165,7 +190,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             langs, scores, sets = [], [], []
             for text, share in zip(batch.column(1), shares):
                 text = text.as_py()
-                if not text or not share.any() or not LETTER.search(text):
+                if not share.any() or not has_letter(text):
                     langs.append("und"), scores.append(0.0), sets.append([])
                     continue
                 order = [i for i in np.argsort(-share, kind="stable") if share[i] > 0]
@@ -189,7 +214,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             shares = np.concatenate([model.shares(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in blocks(offsets, BLOCK)] or [np.zeros((0, len(model.languages)))])
-            told = [bool(share.any() and LETTER.search(text.as_py() or "")) for text, share in zip(batch.column(1), shares)]
+            told = [bool(share.any() and has_letter(text.as_py())) for text, share in zip(batch.column(1), shares)]
             yield batch.filter(pa.array(told, pa.bool_())).select([0])
 
     boxed = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"))
