@@ -3,13 +3,15 @@
 Intermediate results that are read more than once are written as Parquet below
 the folder that the cluster names in ``spark.checkpoint.dir``, so that a lost
 executor costs at most the tasks it was running.  The tables go away when the
-driver exits, or when the operator releases them.
+operator releases them, at the end of a ``scratch()`` block, or when the driver exits.
 """
 
 from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
         return "/tmp/checkpoints/tessera"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera"
+    raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
@@ -45,6 +47,17 @@ def release(*frames: DataFrame) -> None:
             _delete(_live.pop(path), path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """At the block's end all tables written inside it go, those behind results included."""
+    before = set(_live)
+    try:
+        yield
+    finally:
+        for path in set(_live) - before:
+            _delete(_live.pop(path), path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
