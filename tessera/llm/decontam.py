@@ -39,6 +39,8 @@ from .text import blocks, mix, shingles, utf8, words
 #: Most items and characters in a block of items.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
 RADIUS = 18
+#: Shingles of a dense passage that are looked at together, besides the widest windows.
+PIECE = 50_000
 PARTS = 8
 GATE_BITS = 20
 SLACK = 0.15
@@ -150,8 +152,7 @@ def matches(model: Model, hashes: np.ndarray, similarity: float) -> dict[int, tu
             continue
         reach = max(size for size in model.sizes)
         ends = np.flatnonzero(np.diff(hit) > 2 * reach)
-        for a, b in zip(hit[np.concatenate(([0], ends + 1))], hit[np.concatenate((ends, [len(hit) - 1]))]):
-            low, high = max(0, int(a) - reach), min(len(s), int(b) + reach + 1)
+        for low, high in _pieces(hit[np.concatenate(([0], ends + 1))], hit[np.concatenate((ends, [len(hit) - 1]))], reach, len(s)):
             own = s[low:high]
             votes = model.votes(own)
             weight = np.abs(votes[:, 0])
@@ -185,6 +186,16 @@ def matches(model: Model, hashes: np.ndarray, similarity: float) -> dict[int, tu
     return best
 
 
+def _pieces(first: np.ndarray, last: np.ndarray, reach: int, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges around hits, of bounded length: neighbours overlap by more than any window."""
+    for a, b in zip(first.tolist(), last.tolist()):
+        low, high = max(0, a - reach), min(size, b + reach + 1)
+        while high - low > PIECE + 2 * reach:
+            yield low, low + PIECE + 2 * reach
+            low += PIECE
+        yield low, high
+
+
 def mix_short(hashes: np.ndarray, n: int) -> np.ndarray:
     """Every run of ``n`` words as a document of its own would have it as its one shingle."""
     runs = np.lib.stride_tricks.sliding_window_view(hashes, n)
