@@ -14,14 +14,19 @@ prefix meets; a pair is held to the smaller ``l`` of the two.
   by hash.  The order decides cost and never results.
 * Copies: documents with the same set are one representative.
 * Candidates: a shingle of few documents yields pairs, counted and held to
-  ``l``; one of many documents is taken apart by set size, and what is still
-  many is tied to a star, so rows stay linear in the size of a group.  Both
-  kinds of ties split the documents into blocks such that any two that may link
-  are in one block.
-* Verification: the sets of a block meet in tiles of bounded size and are
-  joined exactly there, again by adaptive prefixes, now in the block's own
-  order.  Within a tile, documents that are already connected are not compared
-  again; links between tiles become components of the whole table.
+  ``l``.  Shingles of many documents are passed over, and ``l`` is less by as many
+  as both have.  A document with more of those than matches that are asked for
+  is crowded: its prefix grows to the whole set, of which a partner may lack
+  only few shingles.  The set is dealt into bundles, more than there may be
+  differing shingles, and a pair must share all shingles of as many bundles as
+  are left over.  Any two documents that may link either share enough shingles of
+  few documents, or both are crowded and share a bundle.
+* Verification: pairs are joined with their sets and measured exactly; first one
+  pair for each document, then the others that are not connected by then.  So a
+  group of copies costs rows in proportion to its size.
+* Bundles of many documents are pairs of each document with the first.  Where
+  that leaves a bundle's documents in different components, the sets of such
+  bundles meet in tiles of bounded size, and tiles within one component do not.
 
 Cases: null and empty texts and texts without words have an empty set and link
 with nothing; rows that repeat a ``doc_id`` each get the component of their own
@@ -34,29 +39,32 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .storage import durable, release, shuffle_width
-from .text import blocks, shingle_sets, shingle_starts, shingles, tidy, utf8, words
+from .text import blocks, mix, shingle_sets, shingle_starts, shingles, tidy, utf8, words
 
 #: A block of counting, in words, and how often a word or shingle must occur there to count as perhaps frequent.
 COUNT_BLOCK, SEEN = 2_000_000, 3
 #: Most rows of the tables of frequent words and of frequent shingles (16 bytes each).
 TABLE_ROWS = 1 << 18
-#: Shingles of more documents than this tie them to a star.
-STAR = 24
-#: Rows of one shingle that a task holds at most, about.
-LONG_RUN = 200_000
-#: Most shared shingles that a prefix asks for, and the length of prefix for which it asks one more.
-MOST_MATCHES, CHANCE = 24, 48
+#: Documents of a shingle or a bundle of which all pairs are looked at.
+FEW = 24
+#: Bundles of many documents are broadcast up to this many (8 bytes each), joined by shuffle beyond.
+BROADCAST_KEYS = 500_000
+#: Pairs for each document that are measured without a first round of one pair for each.
+PAIRS_AT_ONCE = 2
+#: Fewest and most shared shingles that a prefix asks for, and the length of prefix for which it asks one more.
+FEWEST_MATCHES, MOST_MATCHES, CHANCE = 4, 24, 24
 #: Shingles of all sets in a tile, about.
-TILE = 800_000
+TILE = 200_000
 
 
 def needed(n: np.ndarray | int, t: Fraction) -> np.ndarray | int:
@@ -69,13 +77,25 @@ def alike(common: np.ndarray, n: np.ndarray, m: np.ndarray, t: Fraction) -> np.n
     return common * t.denominator >= t.numerator * (n + m - common)
 
 
+def differing(total: np.ndarray | int, t: Fraction) -> np.ndarray | int:
+    """Most shingles that are in only one of two sets of similarity ``t``, from the sum of their sizes."""
+    return total * (t.denominator - t.numerator) // (t.denominator + t.numerator)
+
+
 def matches_for(cost: float, base: int) -> int:
     """How many shared shingles to ask for at a prefix of ``base`` shingles.
 
     ``cost`` is how many documents share them by what is known; besides, longer
     prefixes meet more documents by chance.
     """
-    return min(MOST_MATCHES, 2 + int(np.log2(1 + cost / 16)) + int(base) // CHANCE)
+    return min(MOST_MATCHES, FEWEST_MATCHES + int(np.log2(1 + cost / 16)) + int(base) // CHANCE)
+
+
+def least_ask(n: Column, t: Fraction) -> Column:
+    """How many shared shingles any set that may link with one of ``n`` asks for at least, and so does that set."""
+    smallest = F.ceil(n * t.numerator / t.denominator - 1e-9)
+    need = F.ceil(smallest * t.numerator / t.denominator - 1e-9)
+    return F.greatest(F.lit(1), F.least(F.lit(MOST_MATCHES), FEWEST_MATCHES + F.floor((smallest - need + 1) / CHANCE), need))
 
 
 @dataclass
@@ -144,7 +164,7 @@ def _count(docs: DataFrame, n: int) -> Counts:
         yield flush()
 
     added = docs.select("text").mapInArrow(tidy(run), "kind byte, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
-    seen = durable(added.where((F.col("n") > STAR) | (F.col("kind") == 2)), "counts")
+    seen = durable(added.where((F.col("n") > FEW) | (F.col("kind") == 2)), "counts")
     total = max(1, (seen.where("kind = 2").first() or {"n": 1})["n"])
     word, word_count = _largest(seen.where("kind = 0"))
     shingle, count = _largest(seen.where("kind = 1"))
@@ -267,131 +287,152 @@ def size_bins(t: Fraction, most: int) -> np.ndarray:
 MOST_SHINGLES = 1 << 40
 
 
-class _Ties:
-    """Candidate ties of sorted prefix rows: pairs of few documents, stars of many.
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows whose equal keys are together: how many rows each row's key has, and its rows from here on."""
+    if not len(key):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    lens = np.diff(np.concatenate((edges, [len(key)])))
+    return np.repeat(lens, lens), np.repeat(edges + lens, lens) - np.arange(len(key))
 
-    Rows come as columns h, doc, n, ask, level.  A shingle of more than
-    ``STAR`` documents is taken apart by size: every document is in its bin and
-    the next, so any two of compatible sizes meet.
-    """
 
-    def __init__(self, t: Fraction) -> None:
-        self.t, self.bins = t, size_bins(t, MOST_SHINGLES)
-        self.out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.hubs: tuple[int, dict[int, int]] = (0, {})  # of the shingle that is too long to hold
-
-    def add(self, cols: tuple[np.ndarray, ...]) -> None:
-        """All rows of some shingles."""
-        h = cols[0]
-        if not len(h):
-            return
-        if self.hubs[1] and self.hubs[0] == h[0]:
-            first = int(np.searchsorted(h, h[0], "right"))
-            self.stars(tuple(x[:first] for x in cols))
-            cols = tuple(x[first:] for x in cols)
-            h = cols[0]
-        self.hubs = (0, {})
-        if not len(h):
-            return
-        run = np.cumsum(np.concatenate(([False], h[1:] != h[:-1])))
-        many = (np.bincount(run) > STAR)[run]
-        self.groups(run[~many], np.full(int((~many).sum()), -1), tuple(x[~many] for x in cols[1:]))
-        if many.any():
-            run, rest = run[many], tuple(x[many] for x in cols[1:])
-            own = np.searchsorted(self.bins, rest[1], "right") - 1
-            twice = np.concatenate((own, own + 1))
-            key = np.concatenate((run, run)) * len(self.bins) + twice
-            order = np.argsort(key, kind="stable")
-            self.groups(key[order], twice[order], tuple(np.concatenate((x, x))[order] for x in rest))
-
-    def groups(self, key: np.ndarray, bins: np.ndarray, cols: tuple[np.ndarray, ...]) -> None:
-        """Rows of equal ``key`` are together; a pair of a binned shingle counts in its larger bin only."""
-        if not len(key):
-            return
-        doc, n, ask, level = cols
-        edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        lens = np.diff(np.concatenate((edges, [len(key)])))
-        run = np.repeat(np.arange(len(edges)), lens)
-        at = np.flatnonzero((lens > STAR)[run])
-        at = at[doc[at] != doc[edges[run[at]]]]
-        if len(at):
-            self.out.append((doc[edges[run[at]]], doc[at], np.zeros(len(at), np.int8)))
-        few = np.flatnonzero(((lens > 1) & (lens <= STAR))[run])
-        after = (edges + lens)[run[few]] - few  # rows of the group from here on
-        for gap in range(1, int(after.max()) if len(few) else 0):
-            left = few[after > gap]
-            right = left + gap
-            need = np.minimum(ask[left], ask[right])
-            small, large = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
-            ok = (np.maximum(level[left], level[right]) <= need) & (small >= needed(large, self.t)) & (doc[left] != doc[right])
-            ok &= (bins[left] < 0) | (bins[left] == np.searchsorted(self.bins, large, "right") - 1)
-            a, b = doc[left[ok]], doc[right[ok]]
-            if len(a):
-                self.out.append((np.minimum(a, b), np.maximum(a, b), need[ok]))
-
-    def stars(self, cols: tuple[np.ndarray, ...]) -> None:
-        """Some rows of one shingle of very many documents: a star for each bin."""
-        h, doc, n = cols[:3]
-        if self.hubs[0] != h[0]:
-            self.hubs = (int(h[0]), {})
-        own = np.searchsorted(self.bins, n, "right") - 1
-        for shift in (0, 1):
-            for k in np.unique(own + shift):
-                there = doc[own + shift == k]
-                hub = self.hubs[1].setdefault(int(k), int(there[0]))
-                self.out.append((np.full(len(there), hub), there, np.zeros(len(there), np.int8)))
-
-    def take(self) -> Iterator[pa.RecordBatch]:
-        if self.out:
-            a, b, need = (np.concatenate([x[i] for x in self.out]) for i in range(3))
-            self.out.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need.astype(np.int32))], ["a", "b", "need"])
-
-
-def _pairs(t: Fraction):
-    """Sorted prefix rows -> (a, b, need): a pair and the matches it must reach, or 0 for a star's tie."""
+def _shared(t: Fraction, need_of):
+    """Rows sorted by their key -> (a, b, need) for pairs of a key of few documents.
+
+    Rows are key, doc, n and two numbers that ``need_of(left, right)`` turns into the number of
+    keys that a pair must share, 0 for none.  A document of a key of many is a row (doc, n, 0).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ties, rest = _Ties(t), None
+        def pairs(cols: tuple[np.ndarray, ...], many: int | None) -> Iterator[pa.RecordBatch]:
+            key, doc, n = cols[:3]
+            size, after = _runs(key)
+            large = (size > FEW) | (key == many if many is not None else False)
+            out = [(doc[large], n[large], np.zeros(int(large.sum()), np.int64))]
+            few = np.flatnonzero(~large & (size > 1))
+            for gap in range(1, int(after[few].max()) if len(few) else 0):
+                left = few[after[few] > gap]
+                right = left + gap
+                small, big = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
+                ok = (small >= needed(big, t)) & (doc[left] != doc[right]) & (differing(small + big, t) > 0)
+                left, right = left[ok], right[ok]
+                need = need_of(tuple(x[left] for x in cols[2:]), tuple(x[right] for x in cols[2:]))
+                ok = need > 0
+                a, b = doc[left[ok]], doc[right[ok]]
+                out.append((np.minimum(a, b), np.maximum(a, b), need[ok]))
+            a, b, need = (np.concatenate([x[i] for x in out]) for i in range(3))
+            for first in range(0, len(a), 100_000):
+                part = slice(first, first + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(a[part]), pa.array(b[part]), pa.array(need[part].astype(np.int32))], ["a", "b", "need"])
+
+        rest, many = None, None
         for batch in batches:
             cols = tuple(batch.column(i).to_numpy().astype(np.int64) for i in range(5))
             if rest is not None:
                 cols = tuple(np.concatenate(x) for x in zip(rest, cols))
             if not len(cols[0]):
                 continue
-            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last shingle may go on
-            ties.add(tuple(x[:last] for x in cols))
+            final = cols[0][-1]  # the last key may go on
+            last = int(np.searchsorted(cols[0], final))
+            if len(cols[0]) - last > FEW or final == many:
+                last = len(cols[0])
+            yield from pairs(tuple(x[:last] for x in cols), many)
+            many = final if last == len(cols[0]) else None
             rest = tuple(x[last:] for x in cols)
-            if len(rest[0]) > LONG_RUN:
-                ties.stars(rest)
-                rest = None
-            yield from ties.take()
         if rest is not None:
-            ties.add(rest)
-        yield from ties.take()
+            yield from pairs(rest, many)
 
     return run
 
 
-def _hot_members(t: Fraction):
-    """Prefix rows of frequent shingles -> memberships of (shingle, size bin)."""
-    bins = size_bins(t, MOST_SHINGLES)
+def _prefix_need(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Of (n, ask, level): the smaller ask, if the shingle is in both prefixes of that ask."""
+    need = np.minimum(left[1], right[1])
+    return np.where(np.maximum(left[2], right[2]) <= need, need, 0)
+
+
+@dataclass
+class Bundles:
+    """How sets are dealt into bundles: one way for the sizes of each bin and the bin below."""
+
+    t: Fraction
+    bins: np.ndarray
+
+    def differing(self, total: np.ndarray | int) -> np.ndarray | int:
+        return differing(total, self.t)
+
+    def spare(self, b: np.ndarray | int) -> np.ndarray | int:
+        """Bundles beyond those that must exist."""
+        return 2 + self.differing(2 * (self.bins[b + 1] - 1)) // 8
+
+    def count(self, b: np.ndarray | int) -> np.ndarray | int:
+        return self.differing(2 * (self.bins[b + 1] - 1)) + 1 + self.spare(b)
+
+    def own(self, n: np.ndarray | int) -> np.ndarray | int:
+        return np.searchsorted(self.bins, n, "right") - 1
+
+    def keys(self, own: np.ndarray, b: int) -> tuple[np.ndarray, int]:
+        """A key for each bundle of a set, and how many of its bundles are empty.
+
+        Empty bundles say little and have keys only in sets that have more of them than there are spare ones.
+        """
+        k = int(self.count(b))
+        part = (mix(own + np.uint64(b)) % np.uint64(k)).astype(np.int64)
+        content = np.zeros(k, np.uint64)
+        np.add.at(content, part, mix(own ^ _SALT))
+        filled = np.bincount(part, minlength=k) > 0
+        empty = int(k - filled.sum())
+        key = mix(content + mix(np.arange(k, dtype=np.uint64) + np.uint64(b << 32)))
+        return (key if empty > self.spare(b) else key[filled]), empty
+
+    def need(self, left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Of (n, empty, bin): bundles with a key that two sets must share; 0 unless the bin is the larger set's."""
+        b, total = left[2], left[0] + right[0]
+        must = np.maximum(1, self.count(b) - self.differing(total) - np.minimum(left[1], right[1]))
+        return np.where(b == self.own(np.maximum(left[0], right[0])), must, 0)
+
+
+_SALT = np.uint64(0x5851F42D4C957F2D)
+
+
+def _bundle_rows(plan: Bundles):
+    """(doc, own) -> a row for each bundle: key, document, size of the set, its empty bundles, bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.searchsorted(bins, batch.column(2).to_numpy(), "right") - 1
-            for shift in (0, 1):
-                names = [f"h{h}:{k}" for h, k in zip(batch.column(0).to_pylist(), (own + shift).tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(1)], ["grp", "node"])
+            held, cols = 0, ([], [], [], [], [])
+
+            def flush() -> pa.RecordBatch:
+                key, doc, n, empty, b = (np.concatenate(x) for x in cols)
+                for x in cols:
+                    x.clear()
+                return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(n.astype(np.int32)), pa.array(empty.astype(np.int32)), pa.array(b.astype(np.int16))], ["h", "doc", "n", "empty", "bin"])
+
+            for doc, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = own.values.to_numpy().view(np.uint64)
+                first = int(plan.own(len(own)))
+                for b in (first, first + 1):
+                    if not plan.differing(len(own) + int(plan.bins[b + 1]) - 1):
+                        continue
+                    key, empty = plan.keys(own, b)
+                    for col, x in zip(cols, (key, *(np.full(len(key), x, np.int64) for x in (doc, len(own), empty, b)))):
+                        col.append(x)
+                    held += len(key)
+                if held > 200_000:
+                    yield flush()
+                    held = 0
+            if held:
+                yield flush()
 
     return run
 
 
-def _local_labels(sets: list[np.ndarray], left: np.ndarray, t: Fraction) -> np.ndarray:
+def _local_labels(sets: list[np.ndarray], left: np.ndarray, t: Fraction, label: np.ndarray | None = None) -> np.ndarray:
     """For each set the first one that links between the sets reach.
 
     ``left`` marks the first of two tiles; when both marks occur only links
-    across count, since each tile is joined with itself elsewhere.
+    across count, since each tile is joined with itself elsewhere.  ``label`` has the
+    first set of each component that is known before.
     """
     count = len(sets)
     size = np.array([len(x) for x in sets])
@@ -410,7 +451,7 @@ def _local_labels(sets: list[np.ndarray], left: np.ndarray, t: Fraction) -> np.n
     by = np.argsort(p_token, kind="stable")
     p_doc = p_doc[by]
     p_at = np.searchsorted(p_token[by], np.arange(len(freq) + 1))
-    label = np.arange(count)
+    label = np.arange(count) if label is None else label.copy()
     present = np.zeros(len(freq), bool)
     rank = np.empty(count, np.int64)
     rank[np.argsort(size, kind="stable")] = np.arange(count)
@@ -446,11 +487,12 @@ def _local_labels(sets: list[np.ndarray], left: np.ndarray, t: Fraction) -> np.n
 
 def _join_tile(t: Fraction):
     def run(table: pa.Table) -> pa.Table:
-        ids = table["doc"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table["own"].to_pylist()]
-        left = table["tile"].to_numpy() == table["t1"].to_numpy()
-        label = _local_labels(sets, left, t) if len(sets) > 1 else np.arange(len(sets))
-        moved = np.flatnonzero(label != np.arange(len(sets)))
+        ids, comp = table["doc"].to_numpy(), table["comp"].to_numpy()
+        sets = [x.values.to_numpy().view(np.uint64) for x in table["own"].combine_chunks()]
+        _, first, which = np.unique(comp, return_index=True, return_inverse=True)
+        known = first[which]
+        label = _local_labels(sets, table["left"].to_numpy(), t, known)
+        moved = np.flatnonzero(label != known)
         return pa.table({"a": pa.array(ids[label[moved]], pa.int64()), "b": pa.array(ids[moved], pa.int64())})
 
     return run
@@ -462,11 +504,12 @@ def _sets(n: int):
             names = [c for c in batch.schema.names if c != "text"]
             first, own, held = 0, [], 0
             for i, x in enumerate(shingle_sets(batch.column(batch.schema.get_field_index("text")), n)):
-                own.append(x.tobytes())
-                held += len(own[-1])
-                if held > 16 << 20 or i == batch.num_rows - 1:
+                own.append(x.view(np.int64))
+                held += len(x)
+                if held > 2 << 20 or i == batch.num_rows - 1:
                     part = batch.slice(first, i + 1 - first)
-                    yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), pa.array(own, pa.binary())], [*names, "own"])
+                    sets = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32), np.concatenate(own))
+                    yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), sets], [*names, "own"])
                     first, own, held = i + 1, [], 0
 
     return run
@@ -487,29 +530,110 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: Fraction | str = "4
     # one representative of each set
     reps = durable(each.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "row", "n", "ask", "prefix")).alias("r")).select("s1", "s2", "r.*"), "representatives")
     rows = reps.mapInArrow(tidy(_explode(t, counts.shingles)), "h long, doc long, n int, ask byte, level byte, hot boolean")
+    shared = "a long, b long, need int"
     cold = rows.where("not hot").select("h", "doc", "n", "ask", "level")
-    ties = durable(cold.repartition(width, "h").sortWithinPartitions("h", "doc").mapInArrow(tidy(_pairs(t)), "a long, b long, need int"), "ties")
-    paired = ties.where("need > 0").groupBy("a", "b").agg(F.count("*").alias("got"), F.max("need").alias("need")).where("got >= need")
-    tied = paired.select("a", "b").unionAll(ties.where("need = 0").select("a", "b"))
-    hot = rows.where("hot").mapInArrow(_hot_members(t), "grp string, node long")
-    block_of = components(_star_members(tied).unionAll(hot))
-    # the sets of each block, in tiles
-    member = block_of.join(reps.select(F.col("doc_id").alias("node"), "row", "n"), "node")
-    size = member.groupBy("comp").agg(F.count("*").alias("docs"), F.ceil(F.sum("n") / F.lit(TILE)).cast("int").alias("tiles")).where("docs > 1")
-    tiled = member.join(size, "comp").select(F.col("node").alias("doc_id"), "row", "comp", "tiles", F.pmod(F.xxhash64("node", "row"), F.col("tiles")).cast("int").alias("tile"))
-    text = source.join(tiled.hint("merge"), ["doc_id", "row"]).select(F.col("doc_id").alias("doc"), "comp", "tiles", "tile", "text")
-    sets = text.mapInArrow(tidy(_sets(n)), "doc long, comp long, tiles int, tile int, own binary")
-    meet = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    meet = meet.select("doc", "comp", "tile", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "own")
-    links = meet.groupBy("comp", "t1", "t2").applyInArrow(_join_tile(t), "a long, b long")
-    comp = components(_star_members(links))
+    ties = durable(cold.repartition(width, "h").sortWithinPartitions("h", "doc").mapInArrow(_shared(t, _prefix_need), shared), "ties")
+    many = rows.where("hot").select("doc", F.col("n").cast("long")).unionAll(ties.where("need = 0").select(F.col("a").alias("doc"), F.col("b").alias("n")))
+    many = many.groupBy("doc", "n").agg(F.count("*").alias("many")).withColumn("crowded", F.col("many") >= least_ask(F.col("n"), t))
+    many = durable(many.groupBy("doc").agg(F.max("many").alias("many"), F.max("crowded").alias("crowded")), "crowded")
+    paired = _enough(ties, many)
+    # the sets of all documents that may have a partner
+    wanted = many.where("crowded").select("doc", "crowded").unionByName(paired.select(F.explode(F.array("a", "b")).alias("doc"), F.lit(False).alias("crowded")))
+    wanted = durable(wanted.groupBy("doc").agg(F.max("crowded").alias("crowded")), "wanted")
+    member = reps.select(F.col("doc_id").alias("doc"), "row").join(wanted, "doc")
+    text = source.select(F.col("doc_id").alias("doc"), "row", "text")
+    sets = durable(text.join(member.hint("merge"), ["doc", "row"]).dropDuplicates(["doc", "row"]).select("doc", "crowded", "text").mapInArrow(tidy(_sets(n)), "doc long, crowded boolean, own array<long>"), "sets")
+    plan = Bundles(t, size_bins(t, MOST_SHINGLES))
+    bundles = durable(sets.where("crowded").select("doc", "own").mapInArrow(tidy(_bundle_rows(plan)), "h long, doc long, n int, empty int, bin short"), "bundles")
+    large = durable(bundles.groupBy("h").agg(F.count("*").alias("docs"), F.min("doc").alias("hub")).where(F.col("docs") > FEW).select("h", "hub"), "bundles-of-many")
+    n_large = large.count()
+    keys = F.broadcast(large) if n_large <= BROADCAST_KEYS else large
+    few = bundles.join(keys.select("h"), "h", "left_anti") if n_large else bundles
+    found = paired.unionAll(_enough(few.repartition(width, "h").sortWithinPartitions("h", "doc").mapInArrow(_shared(t, plan.need), shared)))
+    if n_large:
+        found = found.unionAll(bundles.join(keys, "h").where("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")))
+    pairs = durable(found.distinct(), "pairs")
+    if pairs.count() <= PAIRS_AT_ONCE * sets.count():
+        links = [durable(_verified(pairs, sets, t), "links")]
+        comp = _components(links)
+    else:  # one pair of each document first, then those that are not connected by it
+        first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        links = [durable(_verified(first, sets, t), "links")]
+        comp = _components(links)
+        links.append(durable(_verified(_apart(pairs.join(first, ["a", "b"], "left_anti"), comp), sets, t), "links"))
+        if not links[-1].isEmpty():
+            release(comp)
+            comp = _components(links)
+    if n_large:  # bundles of many documents that are still in several components
+        label = bundles.join(keys.select("h"), "h").select("h", "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        parted = label.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("h")
+        met = durable(label.join(parted, "h").select("h", "doc", "comp"), "parted")
+        if not met.isEmpty():
+            links.append(durable(_tiles(met, sets, t), "links"))
+            release(comp)
+            comp = _components(links)
+        release(met)
     whole = reps.select("s1", "s2", F.col("doc_id").alias("node")).join(comp, "node", "left").select("s1", "s2", F.coalesce("comp", "node").alias("component_id"))
-    found = each.select("doc_id", "n", "s1", "s2").join(whole, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    result = durable(found, "near-duplicates")
-    release(each, reps, ties, block_of, comp)
+    out = each.select("doc_id", "n", "s1", "s2").join(whole, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    result = durable(out, "near-duplicates")
+    release(each, reps, ties, many, wanted, sets, bundles, large, pairs, *links, comp)
     return result
 
 
+def _components(links: list[DataFrame]) -> DataFrame:
+    return components(_star_members(reduce(DataFrame.unionAll, links)))
+
+
+def _enough(ties: DataFrame, many: DataFrame | None = None) -> DataFrame:
+    """Pairs that share as much as they must, or less by what both may share of ``many(doc, many, crowded)``.
+
+    Two crowded documents meet in bundles.
+    """
+    counted = ties.where("need > 0").groupBy("a", "b").agg(F.count("*").alias("got"), F.max("need").alias("need"))
+    if many is None:
+        return counted.where("got >= need").select("a", "b")
+    for side in ("a", "b"):
+        counted = counted.join(many.select(F.col("doc").alias(side), F.col("many").alias(f"many_{side}"), F.col("crowded").alias(f"crowded_{side}")), side, "left")
+    less = F.when(F.coalesce("crowded_a", F.lit(False)) & F.coalesce("crowded_b", F.lit(False)), 0).otherwise(F.least(F.coalesce("many_a", F.lit(0)), F.coalesce("many_b", F.lit(0))))
+    return counted.where(F.col("got") >= F.col("need") - less).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs whose sets are similar enough."""
+    own = sets.select("doc", "own")
+    right = pairs.join(own.select(F.col("doc").alias("b"), F.col("own").alias("right")), "b")
+    both = right.join(own.select(F.col("doc").alias("a"), F.col("own").alias("left")), "a")
+    common = F.size(F.array_intersect("left", "right")).cast("long")
+    return both.where(common * (t.denominator + t.numerator) >= (F.size("left") + F.size("right")).cast("long") * t.numerator).select("a", "b")
+
+
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs of documents in different components."""
+    out = pairs
+    for side in ("a", "b"):
+        out = out.join(comp.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}")), side, "left")
+    return out.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+
+
+def _tiles(met: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """Links between the components of documents that share groups: ``met`` is (h, doc, comp).
+
+    Groups that share documents make a block.  A component of much text has tiles of
+    its own, which are not joined with one another; the others of a block share tiles.
+    """
+    block_of = components(met.select(F.concat(F.lit("h"), "h").alias("grp"), F.col("doc").alias("node"))).select(F.col("node").alias("doc"), F.col("comp").alias("block"))
+    member = block_of.join(met.select("doc", "comp").distinct(), "doc").join(sets.select("doc", F.size("own").alias("n")), "doc")
+    size = member.groupBy("block", "comp").agg(F.sum("n").alias("size")).withColumn("alone", F.when(F.col("size") > TILE, F.col("comp")).otherwise(-1))
+    cut = size.groupBy("block", "alone").agg(F.ceil(F.sum("size") / F.lit(TILE)).cast("int").alias("tiles"))
+    tile = F.struct("alone", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int").alias("part")).alias("tile")
+    tiled = durable(member.join(size.select("block", "comp", "alone"), ["block", "comp"]).join(cut, ["block", "alone"]).select("block", "doc", "comp", tile), "tiles")
+    every = tiled.select("block", "tile").distinct()
+    meet = every.alias("x").join(every.alias("y"), "block").where("x.tile <= y.tile and (x.tile.alone = -1 or x.tile.alone != y.tile.alone)").select("block", F.col("x.tile").alias("t1"), F.col("y.tile").alias("t2"))
+    sides = [tiled.withColumnRenamed("tile", "t1").join(meet, ["block", "t1"]).withColumn("left", F.lit(True)), tiled.withColumnRenamed("tile", "t2").join(meet.where("t1 != t2"), ["block", "t2"]).withColumn("left", F.lit(False))]
+    rows = sides[0].unionByName(sides[1]).join(sets.select("doc", "own"), "doc").select("block", "t1", "t2", "left", "doc", "comp", "own")
+    return rows.groupBy("block", "t1", "t2").applyInArrow(_join_tile(t), "a long, b long")
+
+
 def _star_members(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) as memberships of the group that ``a`` names."""
     return pairs.select(F.concat(F.lit("d"), "a").alias("grp"), F.explode(F.array("a", "b")).alias("node"))
