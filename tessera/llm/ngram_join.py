@@ -396,17 +396,17 @@ _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
 def _bundle_rows(plan: Bundles):
-    """(doc, own) -> a row for each bundle: key, document, size of the set, its empty bundles, bin."""
+    """(doc, own) -> a row for each bundle: key, document, size of the set, its empty bundles, bin, and whether that is the size's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, cols = 0, ([], [], [], [], [])
+            held, cols = 0, ([], [], [], [], [], [])
 
             def flush() -> pa.RecordBatch:
-                key, doc, n, empty, b = (np.concatenate(x) for x in cols)
+                key, doc, n, empty, b, home = (np.concatenate(x) for x in cols)
                 for x in cols:
                     x.clear()
-                return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(n.astype(np.int32)), pa.array(empty.astype(np.int32)), pa.array(b.astype(np.int16))], ["h", "doc", "n", "empty", "bin"])
+                return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(n.astype(np.int32)), pa.array(empty.astype(np.int32)), pa.array(b.astype(np.int16)), pa.array(home > 0)], ["h", "doc", "n", "empty", "bin", "home"])
 
             for doc, own in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = own.values.to_numpy().view(np.uint64)
@@ -415,7 +415,7 @@ def _bundle_rows(plan: Bundles):
                     if not plan.differing(len(own) + int(plan.bins[b + 1]) - 1):
                         continue
                     key, empty = plan.keys(own, b)
-                    for col, x in zip(cols, (key, *(np.full(len(key), x, np.int64) for x in (doc, len(own), empty, b)))):
+                    for col, x in zip(cols, (key, *(np.full(len(key), x, np.int64) for x in (doc, len(own), empty, b, b == first)))):
                         col.append(x)
                     held += len(key)
                 if held > 200_000:
@@ -544,11 +544,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: Fraction | str = "4
     text = source.select(F.col("doc_id").alias("doc"), "row", "text")
     sets = durable(text.join(member.hint("merge"), ["doc", "row"]).dropDuplicates(["doc", "row"]).select("doc", "crowded", "text").mapInArrow(tidy(_sets(n)), "doc long, crowded boolean, own array<long>"), "sets")
     plan = Bundles(t, size_bins(t, MOST_SHINGLES))
-    bundles = durable(sets.where("crowded").select("doc", "own").mapInArrow(tidy(_bundle_rows(plan)), "h long, doc long, n int, empty int, bin short"), "bundles")
-    large = durable(bundles.groupBy("h").agg(F.count("*").alias("docs"), F.min("doc").alias("hub")).where(F.col("docs") > FEW).select("h", "hub"), "bundles-of-many")
-    n_large = large.count()
-    keys = F.broadcast(large) if n_large <= BROADCAST_KEYS else large
-    few = bundles.join(keys.select("h"), "h", "left_anti") if n_large else bundles
+    bundles = durable(sets.where("crowded").select("doc", "own").mapInArrow(tidy(_bundle_rows(plan)), "h long, doc long, n int, empty int, bin short, home boolean"), "bundles")
+    # a pair counts in its larger set's bin only, so bundles of many sets all of which are at home below that bin are of no use
+    many_in = durable(bundles.groupBy("h").agg(F.count("*").alias("docs"), F.min("doc").alias("hub"), F.max("home").alias("home")).where(F.col("docs") > FEW).select("h", "hub", "home"), "bundles-of-many")
+    large = many_in.where("home").drop("home")
+    n_large, n_many = large.count(), many_in.count()
+    keys = F.broadcast(large) if n_many <= BROADCAST_KEYS else large
+    few = bundles.drop("home").join(F.broadcast(many_in.select("h")) if n_many <= BROADCAST_KEYS else many_in.select("h"), "h", "left_anti") if n_many else bundles.drop("home")
     found = paired.unionAll(_enough(few.repartition(width, "h").sortWithinPartitions("h", "doc").mapInArrow(_shared(t, plan.need), shared)))
     if n_large:
         found = found.unionAll(bundles.join(keys, "h").where("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")))
@@ -576,7 +578,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: Fraction | str = "4
     whole = reps.select("s1", "s2", F.col("doc_id").alias("node")).join(comp, "node", "left").select("s1", "s2", F.coalesce("comp", "node").alias("component_id"))
     out = each.select("doc_id", "n", "s1", "s2").join(whole, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     result = durable(out, "near-duplicates")
-    release(each, reps, ties, many, wanted, sets, bundles, large, pairs, *links, comp)
+    release(each, reps, ties, many, wanted, sets, bundles, many_in, pairs, *links, comp)
     return result
 
 
