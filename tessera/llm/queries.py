@@ -51,6 +51,29 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), n=3, similarity="9/10")
 
 
+SQL["op3_ngram_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+shingles AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                             ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS s
+  FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s GROUP BY x, y),
+links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * c >= 90 * (p.n + q.n - c)),
+reached AS (
+  SELECT doc_id AS node, doc_id AS start FROM sizes
+  UNION
+  SELECT y, start FROM reached JOIN links ON x = node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+LEFT JOIN (SELECT node, min(start) AS component FROM reached GROUP BY node) r ON r.node = d.doc_id
+"""
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_edits(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +88,18 @@ def _path() -> Column:
     return F.coalesce(name, F.concat(outer, F.lit("/"), inner, F.lit("/"), F.col("doc_id"), F.lit(".txt")))
 
 
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the fingerprints' query: lengths and edited texts."""
+    return op4_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+SQL["fingerprint_edits"] = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+following AS (SELECT doc_id, t, lead(t, 1, (SELECT arg_max(t, doc_id) FROM texts)) OVER (ORDER BY doc_id DESC) AS f FROM texts)
+SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - length(t) // 3) || left(f, length(t) // 3)) AS edited_sha256 FROM following
+"""
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     files = docs.select(F.col("doc_id").alias("key"), _path().alias("path"), "text")
@@ -118,6 +153,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_decontamination": op9_decontamination,
         "op10_language_id": op10_language_id,
+        "fingerprint_edits": fingerprint_edits,
     }
 
 

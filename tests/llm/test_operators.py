@@ -16,7 +16,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm import components, decontam, fingerprints, langid, licenses, line_dedup, ngram_join, packing, pii, quality, queries, text, toxicity
+from tessera.llm import components, decontam, fingerprints, langid, licenses, line_dedup, ngram_join, packing, pii, quality, queries, storage, text, toxicity
 
 from ..conftest import SF
 
@@ -106,6 +106,11 @@ def test_line_dedup_equals_sql(same):
     same(queries.op2_line_dedup, queries.SQL["op2_line_dedup"])
 
 
+@pytest.mark.parametrize("key", ["op3_ngram_join", "fingerprint_edits"])
+def test_other_queries_equal_sql(same, key):
+    same(queries.queries()[key], queries.SQL[key])
+
+
 def test_line_dedup_cases(spark):
     rows = [(3, " Some Shared line\n\nsome shared LINE\t\nown text here", "x"), (1, "some shared line", "y"), (2, "éééééééé12\nshort", "z"), (5, "éééééééé12\nshort", "z"), (5, "éééééééé12\nshort", "z"), (None, "some shared line", "n"), (4, None, None), (6, "", "e")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, row string")
@@ -162,9 +167,12 @@ def test_near_duplicates_equal_brute_force(spark, docs, n, t):
     assert got == groups_of(some, n, Fraction(t))
 
 
-def test_frequent_shingles_and_tiles(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "STAR", 4)
+@pytest.mark.parametrize("fewest", [2, 4, 9])
+def test_frequent_shingles_and_tiles(spark, monkeypatch, fewest):
+    monkeypatch.setattr(ngram_join, "FEW", 4)
     monkeypatch.setattr(ngram_join, "TILE", 900)
+    monkeypatch.setattr(ngram_join, "PAIRS_AT_ONCE", 0)
+    monkeypatch.setattr(ngram_join, "FEWEST_MATCHES", fewest)
     some = near_texts(60, 2)
     frame = spark.createDataFrame(list(some.items()), "doc_id long, text string").coalesce(1)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(frame, 3, "9/10").collect()}
@@ -179,16 +187,68 @@ def test_sizes_that_may_link_share_a_bin(t):
         assert bin_of(math.floor(n / t)) - bin_of(n) in (0, 1)
 
 
-def test_long_runs_make_the_same_ties():
-    def rows(h, count):
-        return tuple(np.array(x, np.int64) for x in ([h] * count, range(count), [50 + i % 2 for i in range(count)], [2] * count, [1] * count))
+def test_keys_cut_by_batches_make_the_same_pairs(monkeypatch):
+    monkeypatch.setattr(ngram_join, "FEW", 3)
+    keys = [1] * 3 + [2] * 9 + [3] + [4] * 2 + [5] * 4 + [6] * 2
+    rows = [(h, 10 * h + i, 50, 2, 1) for h, i in zip(keys, range(99))]
+    made = []
+    for size in (1, 2, 5, 50):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + size])], list("hdnal")) for i in range(0, len(rows), size)]
+        made.append(sorted(tuple(r.values()) for b in ngram_join._shared(Fraction(4, 5), ngram_join._prefix_need)(iter(batches)) for r in b.to_pylist()))
+    assert made.count(made[0]) == 4
+    assert {a for a, n, need in made[0] if not need and n == 50} == {d for h, d, *_ in rows if h in (2, 5)} and sum(need > 0 for _, _, need in made[0]) == 3 + 1 + 1
+
 
-    whole, parts = ngram_join._Ties(Fraction(4, 5)), ngram_join._Ties(Fraction(4, 5))
-    whole.add(rows(7, 100))
-    parts.stars(tuple(x[:60] for x in rows(7, 100)))
-    parts.add(tuple(x[60:] for x in rows(7, 100)))
-    tied = [{int(d) for a, b, _ in t.out for d in (*a, *b)} for t in (whole, parts)]
-    assert tied[0] == tied[1] == set(range(100))
+@pytest.mark.parametrize("t", [Fraction(9, 10), Fraction(4, 5), Fraction(1, 3)])
+def test_no_partner_asks_for_less(spark, t):
+    def ask(n):
+        base = n - ngram_join.needed(n, t) + 1
+        return max(1, min(ngram_join.matches_for(0, base), min(n, base + ngram_join.MOST_MATCHES - 1) - base + 1))
+
+    rows = spark.range(1, 1500).select("id", ngram_join.least_ask(ngram_join.F.col("id"), t).alias("least")).collect()
+    assert all(r["least"] == min(ask(m) for m in range(ngram_join.needed(r["id"], t), r["id"] + 1)) for r in rows)
+
+
+@pytest.mark.parametrize("t", [Fraction(9, 10), Fraction(4, 5), Fraction(1, 2)])
+def test_sets_that_link_share_bundles(t):
+    rng = np.random.default_rng(5)
+    plan = ngram_join.Bundles(t, ngram_join.size_bins(t, 10_000))
+    for size in (3, 10, 19, 40, 300, 2000):
+        for _ in range(30):
+            x = np.unique(rng.integers(1, 2**63, size).astype(np.uint64))
+            most = ngram_join.differing(2 * size, t)
+            out, new = (int(v) for v in rng.multinomial(most, [0.5, 0.5]))
+            y = np.unique(np.concatenate((x[out:], rng.integers(1, 2**63, new).astype(np.uint64))))
+            common = len(np.intersect1d(x, y))
+            if len(x) == len(y) == common or not ngram_join.alike(common, len(x), len(y), t):
+                continue
+            b = int(plan.own(max(len(x), len(y))))
+            (kx, ex), (ky, ey) = plan.keys(x, b), plan.keys(y, b)
+            need = plan.need(*((np.array([len(v)]), np.array([e]), np.array([b])) for v, e in ((x, ex), (y, ey))))[0]
+            assert 1 <= need <= len(np.intersect1d(kx, ky))
+
+
+def test_templates_without_a_link_stay_in_small_groups(spark, monkeypatch):
+    rng = random.Random(11)
+    paragraphs = [" ".join(f"p{k}w{rng.randrange(10**6)}" for _ in range(25)) for k in range(60)]
+    some = {d: " ".join(rng.sample(paragraphs, rng.randrange(4, 20))) for d in range(9000)}
+    kept, plain = {}, ngram_join.durable
+    monkeypatch.setattr(ngram_join, "durable", lambda df, name: kept.setdefault(name, plain(df, name)))
+    monkeypatch.setattr(ngram_join, "release", lambda *frames: None)
+    frame = spark.createDataFrame(list(some.items()), "doc_id long, text string").repartition(4)
+    found = ngram_join.near_duplicates(frame, 3, "9/10")
+    assert found.where("component_id = doc_id").count() == 9000
+    assert (kept["bundles"].groupBy("h").count().selectExpr("max(count)").first()[0] or 0) <= 300
+    assert kept["pairs"].count() <= 3 * 9000
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: str(tmp_path))
+    docs = spark.createDataFrame([(i, f"some words that repeat in every text\nand one of text {i % 3} here") for i in range(9)], "doc_id long, text string")
+    with storage.scratch():
+        assert ngram_join.near_duplicates(docs).count() == line_dedup.dedup_lines(docs).count() == 9
+        assert any(tmp_path.iterdir())
+    assert not any(tmp_path.iterdir())
 
 
 def test_components(spark):
@@ -215,6 +275,17 @@ def test_fingerprints_and_edits(spark, docs):
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.1
 
 
+@pytest.mark.parametrize("start,gap", [(0, 1), (2**60, 1), (2**53 - 40, 3), (-(2**62), 2**46), (-(2**63), 2**57)])
+def test_ids_of_64_bits_keep_their_neighbours(spark, start, gap):
+    texts = {start + gap * i: f"document {i} of many with words w{i} x{i} y{i}" for i in range(120)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    rows = {r["doc_id"]: r for r in fingerprints.fingerprint_with_edits(frame).collect()}
+    order = sorted(texts, reverse=True)
+    for d, following in zip(order, order[1:] + order[:1]):
+        assert rows[d]["edited_sha256"] == hashlib.sha256(fingerprints.edit(texts[d], texts[following]).encode()).hexdigest()
+    assert len(rows) == 120 and len(fingerprints._range_ends(frame, 4)[0]) == 3
+
+
 def test_weighted_sampling_estimates_generalised_jaccard():
     rng = np.random.default_rng(4)
     terms = np.sort(rng.integers(0, 2**63, 300, dtype=np.uint64))
@@ -247,6 +318,46 @@ def test_language_mixtures(spark):
     assert [x["lang"] for x in got[2]["languages"]] == ["en"] and all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (3, 4, 5))
 
 
+def test_letters_are_what_isalpha_says(spark):
+    model = langid.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    texts = ["½ ²", "Ⅷ ① ㉄", "_ __ 12", "😀 ​", "º", "日", "x1", "ﾊ", "٣"]
+    got = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] != "und" for r in got} == {i: any(c.isalpha() for c in x) for i, x in enumerate(texts)}
+
+
+def test_mixtures_equal_plain_expectation_maximisation(docs, monkeypatch):
+    monkeypatch.setattr(langid, "SETTLED", 1e-9)
+    monkeypatch.setattr(langid, "MOST_ROUNDS", 300)
+    rng = np.random.default_rng(8)
+    model = langid.Model(["a", "b", "c"], np.log(rng.random((1 << langid.BUCKET_BITS, 3)) + 0.01).astype(np.float32))
+    texts = [x for x in list(docs.values()) if x and x.split()][:50]
+    raw, offsets = text.utf8(pa.array(texts, pa.string()))
+    got = model.shares(raw, offsets)
+
+    def plain(own: str) -> list[float]:
+        r, o = text.utf8(pa.array([own], pa.string()))
+        bucket, word_at, _ = langid.grams(r, o)
+        like = [[math.exp(langid.TEMPER * sum(float(model.log_p[b, k]) for b in bucket[i:j])) for k in range(3)] for i, j in zip(word_at[:-1], word_at[1:])]
+        best, alive, pi = (math.inf, None), [0, 1, 2], [1 / 3] * 3
+        while alive:
+            for _ in range(300):
+                new = [0.0] * 3
+                for word in like:
+                    total = sum(pi[k] * word[k] for k in alive)
+                    for k in alive:
+                        new[k] += pi[k] * word[k] / total / len(like)
+                pi = new
+            fit = sum(math.log(sum(pi[k] * word[k] for k in alive)) for word in like)
+            best = min(best, (-2 * fit + len(alive) * math.log(len(like)), pi))
+            alive = sorted(alive, key=lambda k: pi[k])[1:]
+            pi = [max(pi[k], 1e-12) if k in alive else 0.0 for k in range(3)]
+            pi = [x / (sum(pi) or 1) for x in pi]
+        return best[1]
+
+    short = [i for i, x in enumerate(texts) if len(x) < 3000][:25]
+    assert len(short) > 10 and all(np.allclose(got[i], plain(texts[i]), atol=0.02) for i in short)
+
+
 @pytest.mark.parametrize("query,label,modulus,rest,least", [(queries.op6_quality, "quality", 5, 0, 0.95), (queries.op7_toxicity, "toxic", 4, 2, 0.9)])
 def test_held_out_ranking(spark, query, label, modulus, rest, least):
     sf = "/root/testdata/sf0.1"
@@ -267,6 +378,56 @@ def test_ftrl_keeps_few_weights():
     assert all((weight[v].sum() + model.bias > 0) == (i % 2 == 1) for i, v in enumerate(x))
 
 
+def test_weights_equal_plain_ftrl():
+    rng = np.random.default_rng(2)
+    x = [np.unique(np.append(rng.integers(0, 60, 12), 100 + (i % 3 == 0))) for i in range(50)]
+    y = (np.arange(50) % 3 == 0).astype(int)
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= toxicity.L1 else -(z[k] - math.copysign(toxicity.L1, z[k])) / ((toxicity.BETA + math.sqrt(n[k])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.PASSES):
+        for own, label in zip(x, y):
+            at = [*own.tolist(), "bias"]
+            w = {k: weight(k) for k in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for k in at:
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / toxicity.ALPHA * w[k]
+                n[k] += g * g
+    model = toxicity.ftrl(x, y)
+    want = {k: weight(k) for k in z if k != "bias" and weight(k)}
+    assert want.keys() == set(model.index.tolist()) and np.allclose(model.weight, [want[k] for k in sorted(want)]) and math.isclose(model.bias, weight("bias"))
+
+
+def test_no_document_takes_the_features_of_all(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(20 + 4000 * (i == 7)))) for i in range(20)] + [(3, "another")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "ftrl", lambda x, y: seen.append((len(x), sum(map(len, x)))))
+    toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "FEATURES", 1000)
+    toxicity.train(docs, labels)
+    assert seen[0][0] == 20 and seen[1][1] <= 1000 and 1 <= seen[1][0] < 20
+
+
+def test_pairwise_weights_are_where_the_loss_is_least():
+    rng = np.random.default_rng(1)
+    x = rng.random((60, len(quality.FEATURES)))
+    y = (x[:, 3] + 0.5 * rng.random(60) > 0.7).astype(int)
+    model = quality.fit(x, y)
+    z = model.expand(x)
+    rng = np.random.default_rng(5)
+    win, lose = rng.choice(np.flatnonzero(y == 1), quality.PAIRS), rng.choice(np.flatnonzero(y == 0), quality.PAIRS)
+
+    def loss(w):
+        return sum(math.log1p(math.exp(-d)) for d in ((z[win] - z[lose]) @ w).tolist()) + quality.PENALTY / 2 * float(w @ w)
+
+    least = loss(model.weights)
+    for _ in range(6):
+        assert loss(model.weights + 0.02 * rng.standard_normal(len(model.weights))) > least
+
+
 def test_pairwise_ranking_orders_documents():
     rng = np.random.default_rng(1)
     x = rng.random((400, len(quality.FEATURES)))
@@ -309,6 +470,81 @@ def test_terms_that_give_an_entity_away(spark):
     assert clean[600] == "copy of one passage with <EMAIL> and frobnicate inside"
 
 
+def plain_terms(texts: list[str]) -> dict[str, str | None]:
+    """Disclosing terms and what they are generalised to, by the definition."""
+    word = re.compile(r"[^\W\d_]+")
+    texts = sorted(set(texts))
+    near, of = {}, {}  # (entity, term) and entity -> texts
+    for i, s in enumerate(texts):
+        for kind, pattern in (("email", PLAIN["email"]), ("phone", PLAIN["phone"])):
+            for m in re.finditer(pattern, s):
+                entity = m.group().lower() if kind == "email" else re.sub("[^0-9]", "", m.group())
+                of.setdefault(entity, set()).add(i)
+                a, b = max(0, m.start() - pii.NEAR_CHARS), m.end() + pii.NEAR_CHARS
+                left = [w for w in word.finditer(s, 0, m.start()) if w.start() >= a][-pii.NEAR_WORDS :]
+                right = [w for w in word.finditer(s, m.end()) if w.end() <= b][: pii.NEAR_WORDS]
+                for w in left + right:
+                    if len(w.group()) >= pii.MIN_TERM:
+                        near.setdefault((entity, w.group().lower()), set()).add(i)
+    having = [{w.lower() for w in word.findall(s)} for s in texts]
+
+    def rate(entity, match):
+        both = set().union(*(x for (e, term), x in near.items() if e == entity and match(term)))
+        has = sum(any(map(match, own)) for own in having)
+        share = len(both) / has
+        return len(both), share, share > 0 and share >= pii.MIN_SHARE and math.log2(share * len(texts) / len(of[entity])) >= pii.MIN_BITS
+
+    over: dict[str, list] = {}
+    for entity, term in near:
+        both, share, discloses = rate(entity, lambda w, term=term: w == term)
+        if discloses and both >= pii.MIN_CONTEXTS:
+            over.setdefault(term, []).append((share, entity))
+    out = {}
+    for term, found in over.items():
+        stems = [term[:k] for k in range(len(term) - 1, pii.MIN_STEM - 1, -1)] if max(found)[0] < pii.REMOVE_SHARE else []
+        out[term] = next((x for x in stems if not any(rate(e, lambda w, x=x: w.startswith(x))[2] for _, e in found)), None)
+    return out
+
+
+def test_terms_equal_plain_mutual_information(spark):
+    rng = random.Random(6)
+    names = ["zelda", "zeno", "marlowe", "martha", "quentin", "ottoline", "bo", "Émile"]
+    filler = [a + b for a in ("ba", "ma", "zel", "quen", "ot", "ti", "em") for b in ("rn", "lla", "tor", "st", "nd", "que")]
+    texts = []
+    for i in range(500):
+        w = [rng.choice(filler) + rng.choice(["", "s", "er"]) for _ in range(30)]
+        k = rng.randrange(40)
+        if k < 8:
+            w[10:12] = [names[k], f"{k}me@mail.org" if k % 2 else f"+1 (555) 000-00{k}1"]
+            w[13:13] = ["tail" * 12] * (i % 3 == 0)
+        elif k < 12 and rng.random() < 0.4:
+            w[5] = names[k - 8]
+        texts.append(" ".join(w))
+    texts += texts[:40]
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = plain_terms(texts)
+    assert sum(x is None for x in want.values()) >= 2 and sum(x is not None for x in want.values()) >= 2
+    for r in found:
+        s = texts[r["doc_id"]]
+        spans = sorted((m.start(), m.end(), want[m.group().lower()]) for m in re.finditer(r"[^\W\d_]+", s) if m.group().lower() in want)
+        assert [(x["start"], x["end"]) for x in r["terms"]] == [(a, b) for a, b, _ in spans]
+        assert [(x["kind"], x["put"]) for x in r["terms"]] == [("term", "<TERM>") if stem is None else ("general", stem + "*") for *_, stem in spans]
+
+
+def test_the_query_shows_base_spans_and_terms(spark, tmp_path):
+    rows = [(i, f"call zelda {w} at +1 (555) 123-4567 or {w}@x.org 10.0.0.{i}") for i, w in enumerate("alpha gamma delta omega".split())]
+    rows += [(100 + i, f"nothing to see in text {i}, 4111 1111 1111 1111") for i in range(80)] + [(500, None), (501, "Zelda")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op8_pii(spark, str(tmp_path)).collect():
+        s = dict(rows)[r["doc_id"]] or ""
+        base = plain_spans(s)
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in PLAIN] == [base.count(f"{k}:") for k in PLAIN]
+        terms = [f"term:{m.start()}:{m.end()}" for m in re.finditer("(?i)zelda", s)] if r["doc_id"] < 100 or r["doc_id"] == 501 else []
+        assert {x for x in r["spans"].split(",") if x} >= {*terms, *(x for x in base.split(",") if x)}
+        assert [int(x.split(":")[1]) for x in r["spans"].split(",") if x] == sorted(int(x.split(":")[1]) for x in r["spans"].split(",") if x)
+
+
 def test_terms_are_rated_over_distinct_texts(spark):
     rows = [(i, f"{w} wrote that zelda reads bob@x.org about {w} today") for i, w in enumerate(["alpha", "gamma", "delta"])]
     rows += [(100 + i, "delta wrote that zelda reads bob@x.org about delta today") for i in range(200)]
@@ -403,6 +639,72 @@ def test_license_lines_of_the_fixture(spark, docs):
         assert rows[d] in want if want else rows[d] is None
 
 
+def plain_scan(files: list[tuple]) -> dict:
+    """(own license, score, license) of files (key, path, text), by the definitions."""
+    words = {k: Counter(licenses.tokens(x or "")) for k, _, x in files}
+    df = Counter(w for own in words.values() for w in own)
+
+    def vector(count):
+        return {w: n * (math.log((1 + len(files)) / (1 + df[w])) + 1) for w, n in count.items()}
+
+    def cosine(a, b):
+        norm = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+        return sum(x * b.get(w, 0) for w, x in a.items()) / norm if norm else 0.0
+
+    templates = [(name, vector(Counter(licenses.tokens(x)))) for name, texts in licenses.TEMPLATES.items() for x in texts]
+    best, speaks = {}, {}
+    for key, path, x in files:
+        units = [x or "", *(x or "").split("\n"), *re.split(r"\n[ \t]*\n", x or "")]
+        rated = [sorted((-cosine(v, vector(Counter(licenses.tokens(u)))), name) for name, v in templates)[0] for u in units]
+        score, name = min(rated)
+        best[key] = (name if -score >= licenses.THRESHOLD else None, -score)
+        if -rated[0][0] >= licenses.WHOLE or re.search(licenses.LICENSE_NAME, path) and -score >= licenses.THRESHOLD:
+            speaks.setdefault("/".join(path.split("/")[:-1]), []).append((score, name))
+    out = {}
+    for key, path, _ in files:
+        above = path.split("/")[:-1]
+        found = best[key][0]
+        while found is None:
+            if (here := "/".join(above)) in speaks:
+                found = min(speaks[here])[1]
+            if not above:
+                break
+            above = above[:-1]
+        out[key] = (*best[key], found)
+    return out
+
+
+def test_licenses_equal_plain_cosines(spark, docs, tmp_path):
+    rows = [(d, (s or "") + ("\n\nReleased under the MIT License." if d % 128 == 64 else "\nLicensed under CC BY 4.0" if d == 0 else "")) for d, s in docs.items()]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op5_license_scan(spark, str(tmp_path)).collect()}
+    want = plain_scan([(d, got[d]["path"], x) for d, x in rows])
+    for d, (own, score, license) in want.items():
+        assert (got[d]["own_license"], got[d]["license"]) == (own, license), d
+        assert own is None and got[d]["own_score"] < licenses.THRESHOLD or abs(got[d]["own_score"] - score) < 1e-9
+    assert sum(r["license_from"] is not None for r in got.values()) > 50
+
+
+def test_license_files_are_found_as_themselves(spark):
+    fsf = "Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\nEveryone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.\n\n"
+    texts = {
+        "GPL-3.0": f"                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n {fsf}                            Preamble\n\n  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n",
+        "LGPL-3.0": f"                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n {fsf}  This version of the GNU Lesser General Public License incorporates\nthe terms and conditions of version 3 of the GNU General Public\nLicense, supplemented by the additional permissions listed below.\n",
+        "AGPL-3.0": f"                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n {fsf}",
+        "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n",
+        "MIT": "MIT License\n\nCopyright (c) 2021 A. Body\n\n" + licenses._MIT_GRANT + "\n\n" + licenses._MIT_REST,
+        "BSD-3-Clause": "Copyright (c) 2021, A. Body\nAll rights reserved.\n\n" + licenses._BSD_GRANT + "\n" + licenses._BSD_NAMES + "\n\n" + licenses._BSD_DISCLAIMER,
+        "BSD-2-Clause": "Copyright (c) 2021, A. Body\nAll rights reserved.\n\n" + licenses._BSD_GRANT + "\n\n" + licenses._BSD_DISCLAIMER,
+        "ISC": "ISC License\n\nCopyright (c) 2021 A. Body\n\n" + licenses._ISC,
+        "Unlicense": licenses._UNLICENSE,
+    }
+    assert own_licenses(spark, list(texts.values())) == list(texts)
+    files = [(1, "p/COPYING.old/whole", texts["MIT"]), (2, "p/COPYING.old/x.c", "int main;"), (3, "p/y.c", "int main;")]
+    files += [(10 + k, f"q/{k}.c", f"this file is part of the project so you may use it, can be found in full details {k}") for k in range(300)]
+    got = {r["key"]: r for r in licenses.inherit(licenses.scan(spark.createDataFrame(files, "key long, path string, text string"))).collect()}
+    assert got[1]["own_score"] >= licenses.WHOLE and got[2]["license"] == "MIT" and got[3]["license"] is None
+
+
 def own_licenses(spark, texts: list, **kw) -> list:
     """Licenses of texts among 300 files of words that most files have."""
     rows = [(i, f"d/{i}", x) for i, x in enumerate([*texts, *[f"this file is part of the project so you may use it, can be found in full details {k}" for k in range(300)]])]
