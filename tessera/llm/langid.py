@@ -33,7 +33,7 @@ from .text import blocks, tidy, utf8
 #: Most labelled documents that are learned from, for each language.
 PER_LANGUAGE = 1500
 #: Sampled ids are broadcast up to this many (some 32 bytes each).
-SALTS, BROADCAST_IDS = 64, 200_000
+LEAD_BITS, BROADCAST_IDS = 12, 200_000
 BUCKET_BITS = 16
 #: Added to every trigram count.
 SMOOTHING = 0.5
@@ -147,11 +147,13 @@ class Model:
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model from ``labelled(doc_id, text, lang)``; rows without ``lang`` teach nothing."""
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and lang is not null and text is not null")
-    # ranks over ids alone; a first cut by salt keeps a language that most rows have from one task
-    keys = rows.select("lang", "doc_id", F.xxhash64("text").alias("row")).distinct().withColumn("h", F.xxhash64("doc_id", "row")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
-    order = [F.col("h"), F.col("doc_id"), F.col("row")]
-    few = keys.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= per_language)
-    picks = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= per_language)
+    # the first ids in order of a hash, whose leading bits are counted first: only ids around the last of a language are ranked
+    keys = rows.select("lang", "doc_id", F.xxhash64("text").alias("row")).distinct().withColumn("h", F.xxhash64("doc_id", "row")).withColumn("lead", F.shiftright("h", 64 - LEAD_BITS))
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("lead"))
+    room = keys.groupBy("lang", "lead").agg(F.count("*").alias("n")).withColumn("room", F.lit(per_language) - (upto - F.col("n"))).where("room > 0")
+    near = keys.join(room, ["lang", "lead"])
+    rank = F.row_number().over(Window.partitionBy("lang", "lead").orderBy("h", "doc_id", "row"))
+    picks = near.where("n <= room").unionByName(near.where("n > room").withColumn("rank", rank).where("rank <= room").drop("rank"))
     picks = durable(picks.select("lang", "doc_id", "row"), "language-sample")
     small = picks.count() <= BROADCAST_IDS
     picked = rows.withColumn("row", F.xxhash64("text")).join(F.broadcast(picks) if small else picks, ["lang", "doc_id", "row"])
