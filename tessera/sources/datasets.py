@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .. import validate
 from ..functions import text
 from ..operators import annotations
-from . import files, zip_archive
+from . import files
 
 #: What ``data.yaml`` of an archive says of its place.
 ARCHIVE_ROOT = "/content/data"
@@ -76,24 +76,33 @@ def open_dataset(spark: SparkSession, source: str) -> Dataset:
     if files.kind(files.join(root, "images")) != "folder":
         raise FileNotFoundError(f"no images folder in {root}")
     settings = files.join(root, "data.yaml")
+    return Dataset(spark, root, folder_listing(spark, root), (yaml.safe_load(files.read(settings)) or {}) if files.kind(settings) else {})
+
+
+def folder_listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, src, member) of all files below a folder; contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(root)).select(F.col("path").alias("src"))
     at = files.locate(root)[1]
-    listing = found.select(F.expr("substring(src, instr(src, '{0}/') + {1})".format(at.replace("'", "\\'"), len(at) + 1)).alias("path"), "src", F.lit(None).cast("bigint").alias("member"))
-    return Dataset(spark, root, listing, (yaml.safe_load(files.read(settings)) or {}) if files.kind(settings) else {})
+    rel = F.expr("substring(src, instr(src, '{0}/') + {1})".format(at.replace("'", "\\'"), len(at) + 1))
+    return found.select(rel.alias("path"), "src", F.lit(None).cast("bigint").alias("member"))
+
+
+def archive_listing(spark: SparkSession, names: Mapping[str, int], source: str, prefix: str = "") -> DataFrame:
+    """(path, src, member) of an archive's files below ``prefix``."""
+    own = {x[len(prefix) :]: k for x, k in names.items() if x.startswith(prefix) and not x.endswith("/")}
+    rows = pa.table({"path": pa.array(list(own), pa.string()), "member": pa.array(list(own.values()), pa.int64())})
+    return spark.createDataFrame(rows).select("path", F.lit(str(source)).alias("src"), "member")
 
 
 def _open_archive(spark: SparkSession, source: str) -> Dataset:
     reader = files.Reader()
-    reader.get(source, 0)
-    names = {m.filename: k for k, m in enumerate(reader.archive.infolist())}  # as extraction does, the last of a name
+    names = reader.names(source)
     tops = sorted({x.split("/")[0] for x in names if x.count("/") == 1 and x.endswith("/data.yaml")})
     prefix = "" if "data.yaml" in names or not tops else f"{tops[0]}/"
     if not any(x.startswith(f"{prefix}images/") for x in names):
         raise FileNotFoundError(f"no images folder in {source}")
     settings = names.get(f"{prefix}data.yaml")
-    rows = pa.table({"path": [x[len(prefix) :] for x in names if x.startswith(prefix) and not x.endswith("/")], "member": [k for x, k in names.items() if x.startswith(prefix) and not x.endswith("/")]})
-    listing = spark.createDataFrame(rows).select("path", F.lit(source).alias("src"), "member")
-    return Dataset(spark, source, listing, {} if settings is None else yaml.safe_load(reader.get(source, settings)) or {})
+    return Dataset(spark, source, archive_listing(spark, names, source, prefix), {} if settings is None else yaml.safe_load(reader.get(source, settings)) or {})
 
 
 # -- writing --------------------------------------------------------------
@@ -121,7 +130,7 @@ def _content(reader: files.Reader, src, member, body) -> bytes:
     return body.encode() if body is not None else reader.get(src, member)
 
 
-def _put_files(rows: DataFrame, folder: str) -> None:
+def put_files(rows: DataFrame, folder: str) -> None:
     """Each file by the task that has its row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +146,8 @@ def _put_files(rows: DataFrame, folder: str) -> None:
     rows.select("dst", "src", "member", "text").repartition(width, "dst").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
-def _put_archives(rows: DataFrame, folder: str) -> list[str]:
-    """An archive for each value of ``archive``, by one task each, its files in order of name."""
+def put_archives(rows: DataFrame, folder: str, order: str = "dst") -> list[str]:
+    """An archive for each value of ``archive``, by one task each, its files in order of name or another column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, done, current, stack = files.Reader(), [], None, None
@@ -160,7 +169,7 @@ def _put_archives(rows: DataFrame, folder: str) -> list[str]:
         close()
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["archive"])
 
-    dealt = rows.select("archive", "dst", "src", "member", "text").repartition("archive").sortWithinPartitions("archive", "dst")
+    dealt = rows.repartition("archive").sortWithinPartitions("archive", order).select("archive", "dst", "src", "member", "text")
     return sorted(r["archive"] for r in dealt.mapInArrow(run, "archive string").collect())
 
 
@@ -171,11 +180,11 @@ def _commit(data: Dataset, rows: DataFrame, settings: Mapping | None, target: st
         rows = rows.unionByName(_settings_row(data.spark, settings))
     if str(target).lower().endswith(".zip"):
         folder, _, name = str(target).rpartition("/")
-        _put_archives(rows.withColumn("archive", F.lit(name)), folder or ".")
+        put_archives(rows.withColumn("archive", F.lit(name)), folder or ".")
         return
     fresh = files.beside(target)
     try:
-        _put_files(rows, fresh)
+        put_files(rows, fresh)
     except BaseException:
         files.delete(fresh)
         raise
@@ -244,7 +253,7 @@ def merge(spark: SparkSession, sources: Sequence[str], target: str, overwrite: b
         texts = None if all(a == b for a, b in ids.items()) else _remapped(d, ids)
         rows = rows.unionByName(_rows(d, moves, texts))
     folder, _, name = str(target).rpartition("/")
-    _put_archives(rows.withColumn("archive", F.lit(name)), folder or ".")
+    put_archives(rows.withColumn("archive", F.lit(name)), folder or ".")
 
 
 def _lines(body: Column) -> Column:
@@ -297,7 +306,7 @@ def split(spark: SparkSession, source: str, folder: str, by_class: bool = False,
         classes = {a: g for a, g in classes.items() if a in made}
     for archive, listed in classes.items():
         rows = rows.unionByName(_settings_row(spark, {"path": ARCHIVE_ROOT, "train": "images/train", "val": "images/val", "nc": len(listed), "names": list(listed)}, archive))
-    return _put_archives(rows, folder) if classes else []
+    return put_archives(rows, folder) if classes else []
 
 
 def _absent(folder: str, names: Sequence[str], overwrite: bool) -> None:

@@ -44,6 +44,12 @@ def folders(path: str) -> list[str]:
     return sorted(posixpath.basename(x.path) for x in system.get_file_info(arrow_fs.FileSelector(at)) if x.type == arrow_fs.FileType.Directory)
 
 
+def children(path: str) -> list[str]:
+    """Files directly below a folder, in order."""
+    system, at = locate(path)
+    return sorted(join(path, posixpath.basename(x.path)) for x in system.get_file_info(arrow_fs.FileSelector(at)) if x.type == arrow_fs.FileType.File)
+
+
 def read(path: str) -> bytes:
     system, at = locate(path)
     with system.open_input_stream(at) as f:
@@ -92,16 +98,28 @@ def replace(fresh: str, target: str) -> None:
     system.move(locate(fresh)[1], at)
 
 
+def open_archive(path: str) -> zipfile.ZipFile:
+    system, at = locate(path)
+    return zipfile.ZipFile(system.open_input_file(at))
+
+
 class Reader:
     """Contents of files and of archive members; one archive is open at a time."""
 
     def __init__(self) -> None:
         self.path, self.archive = None, None
 
+    def _open(self, src: str) -> zipfile.ZipFile:
+        if src != self.path:
+            self.path, self.archive = src, open_archive(src)
+        return self.archive
+
+    def names(self, src: str) -> dict[str, int]:
+        """Members by name; of several with one name the last, as extraction leaves it."""
+        return {m.filename: k for k, m in enumerate(self._open(src).infolist())}
+
     def get(self, src: str, member: int | None) -> bytes:
         if member is None:
             return read(src)
-        if src != self.path:
-            system, at = locate(src)
-            self.path, self.archive = src, zipfile.ZipFile(system.open_input_file(at))
-        return self.archive.open(self.archive.infolist()[member]).read()
+        archive = self._open(src)
+        return archive.open(archive.infolist()[member]).read()

@@ -2,30 +2,26 @@
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import annotations
-from ..operators.config import write_file
+from . import files
 
 
 def find_root(folder: str) -> str:
     """The folder with data.yaml: this one, else its first child that has it, else this one."""
-    if os.path.exists(os.path.join(folder, "data.yaml")):
+    if files.kind(files.join(folder, "data.yaml")):
         return folder
-    children = sorted(p for p in Path(folder).iterdir() if p.is_dir() and (p / "data.yaml").exists())
-    return str(children[0]) if children else folder
+    return next((files.join(folder, x) for x in files.folders(folder) if files.kind(files.join(folder, x, "data.yaml"))), folder)
 
 
 def class_names(folder: str) -> list[tuple[int, str]]:
-    path = Path(find_root(folder)) / "data.yaml"
-    if not path.exists():
+    path = files.join(find_root(folder), "data.yaml")
+    if not files.kind(path):
         raise ValueError("data.yaml is missing")
-    data = yaml.safe_load(path.read_text(encoding="utf-8")) or {}
+    data = yaml.safe_load(files.read(path)) or {}
     return annotations.class_table(data.get("names"))
 
 
@@ -41,16 +37,16 @@ def _paths(spark: SparkSession, folder: str) -> DataFrame:
 def images(spark: SparkSession, folder: str) -> DataFrame:
     """Images with their labels' paths, null where there is none."""
     root = find_root(folder)
-    found = annotations.scan_images(_paths(spark, os.path.join(root, "images")))
-    labels = os.path.join(root, "labels")
-    if not os.path.isdir(labels):
+    found = annotations.scan_images(_paths(spark, files.join(root, "images")))
+    labels = files.join(root, "labels")
+    if files.kind(labels) != "folder":
         return found.withColumns({"expected": F.regexp_replace("rel_path", r"\.[^./]*$", ".txt"), "label_rel_path": F.lit(None).cast("string")})
     return annotations.pair_labels(found, _paths(spark, labels).select(F.regexp_extract("path", r"(?:^|/)labels/(.*)$", 1).alias("rel_path")))
 
 
 def label_lines(spark: SparkSession, folder: str) -> DataFrame:
     """(label_rel_path, line_no, line) of all label files."""
-    path = os.path.join(find_root(folder), "labels")
+    path = files.join(find_root(folder), "labels")
     texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
     rel = F.regexp_extract(F.input_file_name(), r"(?:^|/)labels/(.*)$", 1)
     return texts.select(rel.alias("label_rel_path"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).where("line <> ''")
@@ -62,16 +58,13 @@ def boxes(spark: SparkSession, folder: str) -> DataFrame:
 
 def write_labels(lines: DataFrame, folder: str) -> None:
     """``lines(label_rel_path, line_no, line)`` as label files; a file is small and made by one task."""
-    root = os.path.join(folder, "labels")
+    root = files.join(folder, "labels")
     texts = lines.groupBy("label_rel_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
     def put(rows) -> None:
         for r in rows:
-            target = Path(root) / r["label_rel_path"]
-            target.parent.mkdir(parents=True, exist_ok=True)
-            fresh = target.with_name(f"{target.name}.{os.getpid()}.new")
-            fresh.write_text(r["text"] + "\n", encoding="utf-8")
-            os.replace(fresh, target)
+            with files.replacing(files.join(root, r["label_rel_path"])) as out:
+                out.write((r["text"] + "\n").encode())
 
     texts.foreachPartition(put)
 
@@ -81,4 +74,5 @@ def write_yaml(folder: str, names: list[str] | dict[int, str], splits: tuple[str
     table = dict(enumerate(names)) if isinstance(names, list) else names
     listed = [table[i] for i in range(len(table))] if sorted(table) == list(range(len(table))) else table
     tree = {"path": ".", **{s: f"images/{s}" for s in splits}, "nc": max(table, default=-1) + 1, "names": listed}
-    write_file(os.path.join(folder, "data.yaml"), tree, overwrite=True)
+    with files.replacing(files.join(folder, "data.yaml")) as out:
+        out.write(yaml.safe_dump(tree, allow_unicode=True, sort_keys=False).encode())

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
 from .. import validate
+from . import files
 
 SCHEMA = "archive string, ord bigint, name string, file_size bigint, compress_size bigint, crc bigint, content binary"
 #: Members in one partition, at most.
@@ -43,16 +44,16 @@ class ZipReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> Sequence[InputPartition]:
-        paths = sorted(str(p) for p in Path(self.path).glob("*.zip")) if os.path.isdir(self.path) else [self.path]
+        paths = [p for p in files.children(self.path) if p.endswith(".zip")] if files.kind(self.path) == "folder" else [self.path]
         out = []
         for path in paths:
-            with zipfile.ZipFile(validate.archive_path(path)) as z:
+            with files.open_archive(validate.archive_path(path)) as z:
                 n = len(z.infolist())
             out += [_Slice(path, a, min(a + SLICE, n)) for a in range(0, n, SLICE)]
         return out
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
-        with zipfile.ZipFile(partition.path) as z:
+        with files.open_archive(partition.path) as z:
             members = z.infolist()
             for k in range(partition.first, partition.last):
                 m = members[k]
