@@ -609,6 +609,43 @@ def words_bag(s: str) -> list:
     return [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
 
 
+def test_dense_passages_are_looked_at_in_pieces(docs, monkeypatch):
+    rng = random.Random(3)
+    items = [(i, " ".join(f"v{rng.randrange(400)}" for _ in range(n))) for i, n in enumerate([4, 9, 23, 60, 140])]
+    model = decontam.Model(items, 5, decontam.RADIUS)
+    dense = " ".join(rng.choice(items)[1] if rng.random() < 0.8 else f"other{rng.randrange(9)}" for _ in range(300))
+    hashes = text.words(*text.utf8(pa.array([dense], pa.string())))[0]
+    whole = decontam.matches(model, hashes, 0.8)
+    monkeypatch.setattr(decontam, "PIECE", 70)
+    cut = decontam.matches(model, hashes, 0.8)
+    assert len(whole) == 5 and {i: x[0] for i, x in whole.items()} == {i: x[0] for i, x in cut.items()} == dict.fromkeys(range(5), 1.0)
+
+
+@pytest.mark.parametrize("size", [12, 20, 35, 60, 110, 200])
+def test_recall_at_the_threshold(size):
+    """Windows of similarity 0.80 to 0.85 by changed words, among other words: most are found."""
+    rng = random.Random(size)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(size))) for i in range(300)]
+    model = decontam.Model(items, 5, decontam.RADIUS)
+    found, planted = 0, 0
+    for i, own in items:
+        for _ in range(20):
+            w = own.split()
+            for _ in range(max(1, round((size - 4) / 50))):
+                at = rng.randrange(0, 3) if size < 25 else rng.randrange(size)
+                w[-1 - at if rng.random() < 0.5 else at] = f"z{rng.randrange(10**6)}"
+            a, b = shingles_of(own, 5), shingles_of(" ".join(w), 5)
+            if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+                break
+        else:
+            continue
+        around = [f"q{rng.randrange(10**6)}" for _ in range(60)]
+        hashes = text.words(*text.utf8(pa.array([" ".join([*around[:30], *w, *around[30:]])], pa.string())))[0]
+        planted += 1
+        found += i in decontam.matches(model, hashes, 0.8)
+    assert planted == 0 or found >= 0.9 * planted, (size, planted, found)
+
+
 def test_index_finds_all_within_the_radius():
     rng = np.random.default_rng(0)
     words = [" ".join(f"w{x}" for x in rng.integers(0, 500, 40)) for _ in range(200)]
