@@ -143,6 +143,51 @@ class Plan:
         self.n_sequences += times
 
 
+class _Sums:
+    """Pairs and triples of lengths by their sum, as far as counts allow them.
+
+    A sum's entry is made when it is first asked for.  Counts only fall, so what has
+    run out is taken from its entry for good; single lengths are indexed by the counts themselves.
+    """
+
+    def __init__(self, left: np.ndarray) -> None:
+        self.left = left
+        self.pairs: dict[int, list[int]] = {}  # sum -> smaller lengths, ascending
+        self.triples: dict[int, list[int]] = {}  # sum -> lengths that some pair completes, ascending
+
+    def there(self, lengths: list[int]) -> bool:
+        return all(self.left[x] >= lengths.count(x) for x in set(lengths))
+
+    def pairs_of(self, total: int) -> list[int]:
+        if total not in self.pairs:
+            small = np.arange(1, total // 2 + 1)
+            self.pairs[total] = small[(self.left[small] > 0) & (self.left[total - small] > 0)].tolist()
+        return self.pairs[total]
+
+    def pair(self, total: int, held: list[int]) -> list[int] | None:
+        """The two lengths of this sum with the largest smaller one that are there beside what is held."""
+        own = self.pairs_of(total)
+        for k in range(len(own) - 1, -1, -1):
+            found = [own[k], total - own[k]]
+            if not self.there(found):
+                del own[k]
+            elif self.there([*held, *found]):
+                return found
+        return None
+
+    def triple(self, total: int, held: list[int]) -> list[int] | None:
+        """A largest length and a pair of the rest that are there beside what is held."""
+        if total not in self.triples:
+            self.triples[total] = [x for x in np.flatnonzero(self.left[: max(total - 1, 0)]).tolist() if self.pairs_of(total - x)]
+        own = self.triples[total]
+        for k in range(len(own) - 1, -1, -1):
+            if not self.left[own[k]] or not self.pairs_of(total - own[k]):
+                del own[k]
+            elif self.there([*held, own[k]]) and (rest := self.pair(total - own[k], [*held, own[k]])):
+                return [own[k], *rest]
+        return None
+
+
 def plan_packing(counts: dict[int, int], capacity: int = 2048) -> Plan:
     """Patterns that use each length exactly as often as it is there."""
     left = np.zeros(capacity + 1, np.int64)
@@ -156,35 +201,19 @@ def plan_packing(counts: dict[int, int], capacity: int = 2048) -> Plan:
             left[x] -= times
         plan.add(lengths, times)
 
-    def there(lengths: list[int]) -> bool:
-        return all(left[x] >= lengths.count(x) for x in set(lengths))
-
-    def pair_for(gap: int, held: tuple[int, ...]) -> list[int] | None:
-        """Two lengths that sum to ``gap`` and are there beside what is held."""
-        if gap < 2:
-            return None
-        small = np.arange(1, gap // 2 + 1)
-        for b in small[(left[small] > 0) & (left[gap - small] > 0)][::-1]:
-            if there([*held, int(b), gap - int(b)]):
-                return [int(b), gap - int(b)]
-        return None
-
+    sums = _Sums(left)
     if left[capacity]:
         use([capacity])
     for size in (1, 2, 3):  # how many lengths fill the gap
         for longest in range(capacity - 1, 0, -1):
             gap = capacity - longest
             while left[longest]:
-                found: list[int] | None = None
                 if size == 1:
-                    found = [gap] if there([longest, gap]) else None
+                    found = [gap] if sums.there([longest, gap]) else None
                 elif size == 2:
-                    found = pair_for(gap, (longest,))
+                    found = sums.pair(gap, [longest])
                 else:
-                    for b in np.flatnonzero(left[: gap - 1])[::-1]:
-                        if there([longest, int(b)]) and (rest := pair_for(gap - int(b), (longest, int(b)))):
-                            found = [int(b), *rest]
-                            break
+                    found = sums.triple(gap, [longest])
                 if not found:
                     break
                 use([longest, *found])
