@@ -21,6 +21,8 @@ from ..functions import text
 
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".webp")
 SPLITS = ("train", "val", "test")
+#: Keys sampled for each range of a ranking.
+PER_RANGE = 20
 
 
 def scan_images(files: DataFrame) -> DataFrame:
@@ -135,18 +137,29 @@ def hash_order(key: Column, seed: int = 42) -> tuple[Column, Column]:
 def ranked(images: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Adds ``pos``, 0-based over the whole order, without bringing all rows to one task.
 
-    Rows are sorted by range; each range's rows are numbered from the count of
-    the ranges before it.
+    Each range's rows are numbered from the count of the ranges before it.  Range ends are
+    keys of a sample by hash (some ``PER_RANGE`` distinct keys a range come to the driver), written
+    into the plan, so that every evaluation deals rows alike; ranges that Spark draws anew each
+    time would not.  Rows of equal keys are in one range.
     """
     spark = images.sparkSession
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = images.withColumns({f"__o{k}": c for k, c in enumerate(order)})
     names = [f"__o{k}" for k in range(len(order))]
-    part = F.spark_partition_id().alias("__part")
-    dealt = keyed.repartitionByRange(width, *names).select("*", part)
-    local = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*names)) - 1)
-    counts = local.groupBy("__part").agg(F.count("*").alias("__n"))
+    keyed = images.withColumns(dict(zip(names, order)))
+    every = max(1, keyed.count() // (PER_RANGE * width))
+    sample = keyed.select(*names).where(F.pmod(F.xxhash64(*names), F.lit(every)) == 0).distinct().orderBy(*names).collect()
+    ends = [sample[k * len(sample) // width] for k in range(1, width)] if len(sample) >= width else sample[1:]
+    key = F.struct(*names)
+    if ends:
+        types = {f.name: f.dataType for f in keyed.schema.fields}
+        bounds = F.array(*(F.struct(*(F.lit(r[n]).cast(types[n]).alias(n) for n in names)) for r in ends))
+        part = F.size(F.filter(bounds, lambda x: x <= key))
+    else:
+        part = F.lit(0)
+    dealt = keyed.withColumn("__part", part)
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row for each range
+    local = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*names)) - 1)
     out = local.join(F.broadcast(before), "__part").withColumn("pos", (F.col("__rank") + F.col("__before")).cast("bigint"))
     return out.drop("__part", "__rank", "__before", *names)
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import archive, config, detection, presentation, tensor
+from tessera.operators import annotations, archive, config, detection, presentation, tensor
 from tessera.sources import media
 
 
@@ -87,6 +87,18 @@ def test_products_by_blocks(spark, monkeypatch):
     assert made.shape == (9, 6) and np.allclose(made.tolist(), a @ b)
 
 
+def test_ranks_are_whole_whatever_is_asked_for(spark):
+    """More rows than a range partitioning samples, with columns that some branches of the plan do without."""
+    rows = spark.range(0, 60_000, 1, 3).select((F.col("id") * 7919 % 60_000).alias("k"), F.md5(F.col("id").cast("string")).alias("x"), F.when(F.col("id") % 9 == 0, None).otherwise(F.col("id") % 5).alias("g"))
+    placed = annotations.ranked(rows, [F.col("k")])
+    assert placed.where("pos <> k").isEmpty() and placed.select("pos", "x").distinct().count() == 60_000
+    tied = annotations.ranked(rows, [F.col("g"), F.col("k")])
+    assert tied.agg(F.countDistinct("pos"), F.max("pos")).first()[:] == (60_000, 59_999)
+    assert tied.groupBy("g").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.count("*").alias("n")).where("b - a + 1 <> n").isEmpty()
+    frames = media.frames(rows.withColumn("s", F.lit("one")), "s", "k")
+    assert frames.where("frame_index <> k").isEmpty()
+
+
 def test_no_window_takes_all_rows(spark, capsys):
     members = spark.createDataFrame([(f"a{i % 3}", i, f"n{i}") for i in range(30)], "archive string, ord bigint, name string")
     events = spark.createDataFrame([("s", i) for i in range(20)], "stream string, ts bigint")
