@@ -251,6 +251,17 @@ def test_scratch_tables_go(spark, tmp_path, monkeypatch):
     assert not any(tmp_path.iterdir())
 
 
+def test_a_cluster_without_a_shared_folder_raises(spark):
+    class Cluster:
+        def __init__(self, named):
+            self.conf = type("Conf", (), {"get": lambda _, key, default=None: named if key == "spark.checkpoint.dir" else default})()
+            self.sparkContext = type("Context", (), {"master": "spark://host:7077"})()
+
+    assert storage.shared_folder(Cluster("hdfs://x/shared/")) == "hdfs://x/shared"
+    with pytest.raises(RuntimeError):
+        storage.shared_folder(Cluster(None))
+
+
 def test_components(spark):
     pairs = [("a", 5), ("a", 9), ("b", 9), ("b", 12), ("c", 1), ("c", 2), ("d", 7), *((f"p{i}", i) for i in range(20, 50)), *((f"p{i}", i + 1) for i in range(20, 50))]
     got = {r["node"]: r["comp"] for r in components.components(spark.createDataFrame(pairs, "grp string, node long")).collect()}
