@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,13 +59,8 @@ def zip_remove(spark, sf):
     return z.remove(own, gone).select("archive", "ord", "name")
 
 
-@query("zip_merge", MEMBERS + "SELECT 'all.zip' AS archive, archive AS from_archive, row_number() OVER (ORDER BY archive, ord) - 1 AS ord, name FROM M WHERE archive < 'src2'")
+@query("zip_merge", MEMBERS + "SELECT 'all.zip' AS archive, archive AS from_archive, row_number() OVER (ORDER BY archive, ord) - 1 AS ord, name FROM M")
 def zip_merge(spark, sf):
-    return z.merge(members(spark, sf).where("archive < 'src2'"), "all.zip").select("archive", "from_archive", "ord", "name")
-
-
-@query("zip_merge_all", MEMBERS + "SELECT 'all.zip' AS archive, archive AS from_archive, row_number() OVER (ORDER BY archive, ord) - 1 AS ord, name FROM M")
-def zip_merge_all(spark, sf):
     return z.merge(members(spark, sf), "all.zip").select("archive", "from_archive", "ord", "name")
 
 
@@ -118,3 +115,38 @@ def config_expand(spark, sf):
 @query("json_props", "SELECT event_id, CAST(props ->> '$.k' AS INT) AS k FROM events")
 def json_props(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+def _nations(spark: SparkSession, sf: str) -> dict:
+    """Nations with their keys below their regions, as a configuration tree."""
+    region = F.broadcast(table(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name"))
+    tree: dict = {}
+    for r in table(spark, sf, "nation").join(region, "n_regionkey").orderBy("r_name", "n_name").collect():  # 25 nations
+        tree.setdefault(r["r_name"], {})[r["n_name"]] = r["n_nationkey"]
+    return tree
+
+
+NATIONS = "FROM nation JOIN region ON n_regionkey = r_regionkey"
+
+
+@query("config_formats", f"SELECT format, [r_name, n_name] AS path, CAST(n_nationkey AS VARCHAR) AS value {NATIONS}, (VALUES ('.json'), ('.toml'), ('.yaml')) f(format)")
+def config_formats(spark, sf):
+    """The tree written in each format and read again."""
+    tree = _nations(spark, sf)
+    return reduce(DataFrame.unionAll, (config.table(spark, config.loads(config.dumps(tree, s), s)).select(F.lit(s).alias("format"), "path", "value") for s in (".json", ".toml", ".yaml")))
+
+
+@query("config_assign", f"SELECT [r_name, n_name] AS path, CAST(CASE WHEN r_name = (SELECT min(r_name) FROM region) THEN n_nationkey + 100 ELSE n_nationkey END AS VARCHAR) AS value {NATIONS}")
+def config_assign(spark, sf):
+    """Entries below the first region, read and set by their paths."""
+    tree = _nations(spark, sf)
+    first = min(tree)
+    for name in tree[first]:
+        config.assign(tree, config.get_value(tree, first, name) + 100, first, name)
+    return config.table(spark, tree)
+
+
+@query("config_tree_expand", f"SELECT [r_name, n_name] AS path, '/data/' || n_name AS value {NATIONS} UNION ALL SELECT ['default', 'root'], '/data'")
+def config_tree_expand(spark, sf):
+    tree = {"default": {"root": "/data"}} | {region: {name: f"./{name}" for name in names} for region, names in _nations(spark, sf).items()}
+    return config.table(spark, config.expand(tree))

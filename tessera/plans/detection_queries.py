@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import annotations as a
 from ..operators import detection as d
 from ..operators import presentation as p
 from ..session import table
@@ -127,3 +128,43 @@ def draw_anchor(spark, sf):
 @query("frames_media", "SELECT event_id, row_number() OVER (ORDER BY ts) - 1 AS frame_index, 'stream' AS source FROM events")
 def frames_media(spark, sf):
     return media.frames(table(spark, sf, "events").withColumn("stream", F.lit("stream")), "stream", "ts").select("event_id", "frame_index", "source")
+
+
+@query("crop_pixels", """WITH I AS (SELECT p_partkey AS image_id, p_partkey % 9 AS x1, p_size % 9 AS y1 FROM part)
+SELECT image_id, 7 AS width, 5 AS height, string_agg(substr(md5(image_id || ':' || r), 2 * x1 + 1, 14), '' ORDER BY r) AS pixels FROM I, range(16) g(r) WHERE r BETWEEN y1 AND y1 + 4 GROUP BY image_id""")
+def crop_pixels(spark, sf):
+    """Grey images of 16 x 16 made of digests, cut to 7 x 5."""
+    data = F.unhex(F.concat(*(F.md5(F.concat(F.col("p_partkey").cast("string"), F.lit(f":{r}")).cast("binary")) for r in range(16))))
+    image = F.struct(F.lit(16).alias("width"), F.lit(16).alias("height"), data.alias("data")).alias("image")
+    x1, y1 = F.col("p_partkey") % 9, F.col("p_size") % 9
+    cuts = table(spark, sf, "part").select(F.col("p_partkey").alias("image_id"), F.lit(0).alias("det_index"), x1.alias("x1"), y1.alias("y1"), (x1 + 7).alias("x2"), (y1 + 5).alias("y2"), image)
+    return p.crop_pixels(cuts).select("image_id", "width", "height", F.lower(F.hex("data")).alias("pixels"))
+
+
+@query("images_to_rgb", """WITH I AS (SELECT p_partkey, md5('' || p_partkey) AS h, [1, 3, 4][p_partkey % 3 + 1] AS n FROM part)
+SELECT p_partkey, CASE n WHEN 1 THEN repeat(h[1:2], 3) || repeat(h[3:4], 3) WHEN 3 THEN h[5:6] || h[3:4] || h[1:2] || h[11:12] || h[9:10] || h[7:8] ELSE h[5:6] || h[3:4] || h[1:2] || h[13:14] || h[11:12] || h[9:10] END AS rgb FROM I""")
+def images_to_rgb(spark, sf):
+    """Two pixels of grey, BGR or BGRA."""
+    n = F.element_at(F.array(F.lit(1), F.lit(3), F.lit(4)), (F.col("p_partkey") % 3 + 1).cast("int"))
+    data = F.unhex(F.md5(F.col("p_partkey").cast("string").cast("binary")))
+    image = F.struct(F.lit(1).alias("height"), F.lit(2).alias("width"), n.alias("nChannels"), F.substring(data, F.lit(1), 2 * n).alias("data")).alias("image")
+    return media.to_rgb(table(spark, sf, "part").select("p_partkey", image)).select("p_partkey", F.lower(F.hex("rgb")).alias("rgb"))
+
+
+@query("detections_metadata", "SELECT source || '/' || doc_id AS path, 2 AS n_boxes, n_chars * 1.0::DOUBLE AS x2, 0.5::DOUBLE AS score, lang || '|' || source AS labels FROM documents")
+def detections_metadata(spark, sf):
+    """Metadata texts, one for each document, read as records."""
+    far = F.col("n_chars").cast("double")
+    box = F.array(F.lit(0.0), F.lit(0.0), far, far)
+    record = F.struct(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.array(box, box).alias("boxes"), F.array(F.lit(0.5), F.lit(0.25)).alias("scores"), F.array("lang", "source").alias("labels"))
+    rows = d.read_metadata(table(spark, sf, "documents").select(F.to_json(F.array(record)).alias("value")))
+    return rows.select("path", F.size("boxes").alias("n_boxes"), F.col("boxes")[1][2].alias("x2"), F.col("scores")[0].alias("score"), F.array_join("labels", "|").alias("labels"))
+
+
+@query("yolo_label_lines", DET + """, R AS (SELECT class_id AS c, CAST(row_number() OVER (ORDER BY min((image_id, det_index))) - 1 AS INT) AS id FROM DET GROUP BY class_id)
+SELECT image_id, det_index, id AS class_id, round((y1 + y2) / 2 / 480, 6) AS yc, round((y2 - y1) / 480, 6) AS h FROM DET JOIN R ON c = class_id""")
+def yolo_label_lines(spark, sf):
+    """Lines of detections with ids by first appearance, read again as labels."""
+    found = _detections(spark, sf).select(F.lit("s").alias("source"), F.col("image_id").alias("frame_index"), "det_index", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")), "score", "label")
+    lines = d.yolo_lines(found, F.lit(WIDTH), F.lit(HEIGHT))
+    return a.parse_labels(lines).select(F.col("frame_index").alias("image_id"), F.col("det_index").cast("bigint").alias("det_index"), "class_id", "yc", "h")

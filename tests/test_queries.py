@@ -42,10 +42,10 @@ def test_entry(spark):
 
 
 def test_whole_tables_are_used(spark, duck):
-    assert catalog.QUERIES["zip_merge_all"](spark, SF).count() == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
-    assert catalog.QUERIES["tensor_matmul_all"](spark, SF).count() == duck.sql("SELECT count(*) * count(*) FROM embeddings").fetchall()[0][0]
+    assert catalog.QUERIES["zip_merge"](spark, SF).count() == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
+    assert catalog.QUERIES["tensor_matmul"](spark, SF).count() == duck.sql("SELECT count(*) * count(*) FROM embeddings").fetchall()[0][0]
     want = duck.sql("SELECT sum(ln(1 + abs(CAST(x AS DOUBLE)) / 10000)) FROM (SELECT unnest(embedding) AS x FROM embeddings)").fetchall()[0][0]
-    assert abs(catalog.QUERIES["tensor_prod_all"](spark, SF).first()["v"] - want) < 1e-5
+    assert abs(catalog.QUERIES["tensor_prod"](spark, SF).first()["v"] - want) < 1e-5
 
 
 def test_matrix_has_the_tables_rows(spark):
