@@ -427,9 +427,11 @@ def _bundle_rows(plan: Bundles):
     return run
 
 
-def _local_labels(sets: list[np.ndarray], left: np.ndarray, t: Fraction, label: np.ndarray | None = None) -> np.ndarray:
+def _local_labels(sets: list[np.ndarray], left: np.ndarray, t: Fraction, label: np.ndarray | None = None, links: list[np.ndarray] | None = None) -> np.ndarray:
     """For each set the first one that links between the sets reach.
 
+    With ``links`` every pair is measured, and arrays of places of linked pairs are appended to it.
+
     ``left`` marks the first of two tiles; when both marks occur only links
     across count, since each tile is joined with itself elsewhere.  ``label`` has the
     first set of each component that is known before.
@@ -466,7 +468,9 @@ def _local_labels(sets: list[np.ndarray], left: np.ndarray, t: Fraction, label:
             continue
         shared = np.bincount(np.concatenate(post), minlength=count)
         met = np.flatnonzero(shared >= ask)
-        met = met[(rank[met] < rank[x]) & (size[met] >= needed(int(size[x]), t)) & (label[met] != label[x])]
+        met = met[(rank[met] < rank[x]) & (size[met] >= needed(int(size[x]), t))]
+        if links is None:
+            met = met[label[met] != label[x]]
         if across:
             met = met[left[met] != left[x]]
         met = met[np.argsort(shared[met], kind="stable")]  # the likeliest at the end
@@ -476,7 +480,11 @@ def _local_labels(sets: list[np.ndarray], left: np.ndarray, t: Fraction, label:
             now, met = met[-step:], met[:-step]
             step = min(4 * step, 1024)
             common = np.array([np.count_nonzero(present[token[at[y] : at[y + 1]]]) for y in now])
-            for y in now[alike(common, size[now], size[x], t)]:
+            close = now[alike(common, size[now], size[x], t)]
+            if links is not None:
+                links.append(np.stack((np.full(len(close), x), close)))
+                continue
+            for y in close:
                 a, b = label[x], label[y]
                 if a != b:
                     label[label == max(a, b)] = min(a, b)
@@ -498,6 +506,16 @@ def _join_tile(t: Fraction):
     return run
 
 
+def _link_tile(t: Fraction):
+    def run(table: pa.Table) -> pa.Table:
+        ids, links = table["doc"].to_numpy(), [np.empty((2, 0), np.int64)]
+        _local_labels([x.values.to_numpy().view(np.uint64) for x in table["own"].combine_chunks()], table["left"].to_numpy(), t, links=links)
+        pair = ids[np.concatenate(links, 1)]
+        return pa.table({"a": pa.array(pair.min(0), pa.int64()), "b": pa.array(pair.max(0), pa.int64())})
+
+    return run
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -515,15 +533,25 @@ def _sets(n: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, similarity: Fraction | str = "4/5") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` with a ``doc_id``.
-
-    ``component_id`` is the smallest ``doc_id`` that links of at least
-    ``similarity`` reach, the row's own included.
+@dataclass
+class Candidates:
+    """What may link: ``each(doc_id, row, n, s1, s2, ...)`` document, ``reps(doc_id, row, s1, s2, ...)``, the ``sets(doc, own)``
+    of those with candidates, ``pairs(a, b)`` to measure and members ``large(h, doc, hub)`` of bundles of many, if there are any.
     """
-    t = Fraction(similarity)
-    spark = docs.sparkSession
-    width = shuffle_width(spark)
+
+    each: DataFrame
+    reps: DataFrame
+    sets: DataFrame
+    pairs: DataFrame
+    large: DataFrame | None
+    others: list[DataFrame]
+
+    def release(self) -> None:
+        release(self.each, self.reps, self.sets, self.pairs, *self.others)
+
+
+def _candidates(docs: DataFrame, n: int, t: Fraction) -> Candidates:
+    width = shuffle_width(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     counts = _count(source, n)
     each = durable(source.mapInArrow(tidy(_prefixes(n, t, counts)), "doc_id long, row long, n long, s1 long, s2 long, ask int, prefix binary"), "prefixes")
@@ -550,11 +578,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: Fraction | str = "4
     large = many_in.where("home").drop("home")
     n_large, n_many = large.count(), many_in.count()
     keys = F.broadcast(large) if n_many <= BROADCAST_KEYS else large
+    in_large = bundles.join(keys, "h").select("h", "doc", "hub") if n_large else None
     few = bundles.drop("home").join(F.broadcast(many_in.select("h")) if n_many <= BROADCAST_KEYS else many_in.select("h"), "h", "left_anti") if n_many else bundles.drop("home")
     found = paired.unionAll(_enough(few.repartition(width, "h").sortWithinPartitions("h", "doc").mapInArrow(_shared(t, plan.need), shared)))
     if n_large:
-        found = found.unionAll(bundles.join(keys, "h").where("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")))
+        found = found.unionAll(in_large.where("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")))
     pairs = durable(found.distinct(), "pairs")
+    return Candidates(each, reps, sets, pairs, in_large, [ties, many, wanted, bundles, many_in])
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, similarity: Fraction | str = "4/5") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs`` with a ``doc_id``.
+
+    ``component_id`` is the smallest ``doc_id`` that links of at least
+    ``similarity`` reach, the row's own included.
+    """
+    t = Fraction(similarity)
+    found = _candidates(docs, n, t)
+    each, reps, sets, pairs = found.each, found.reps, found.sets, found.pairs
     if pairs.count() <= PAIRS_AT_ONCE * sets.count():
         links = [durable(_verified(pairs, sets, t), "links")]
         comp = _components(links)
@@ -566,19 +607,60 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: Fraction | str = "4
         if not links[-1].isEmpty():
             release(comp)
             comp = _components(links)
-    if n_large:  # bundles of many documents that are still in several components
-        label = bundles.join(keys.select("h"), "h").select("h", "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    if found.large is not None:  # bundles of many documents that are still in several components
+        label = found.large.select("h", "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         parted = label.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("h")
         met = durable(label.join(parted, "h").select("h", "doc", "comp"), "parted")
         if not met.isEmpty():
-            links.append(durable(_tiles(met, sets, t), "links"))
+            links.append(durable(_tiles(met, sets, _join_tile(t)), "links"))
             release(comp)
             comp = _components(links)
         release(met)
     whole = reps.select("s1", "s2", F.col("doc_id").alias("node")).join(comp, "node", "left").select("s1", "s2", F.coalesce("comp", "node").alias("component_id"))
     out = each.select("doc_id", "n", "s1", "s2").join(whole, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     result = durable(out, "near-duplicates")
-    release(each, reps, ties, many, wanted, sets, bundles, many_in, pairs, *links, comp)
+    found.release()
+    release(*links, comp)
+    return result
+
+
+def linked_sets(docs: DataFrame, n: int = 5, similarity: Fraction | str = "4/5") -> tuple[DataFrame, DataFrame]:
+    """All links between different texts, as (links, members).
+
+    ``links(a, b)`` has each pair of representatives of at least ``similarity`` once, a < b, and
+    ``members(doc_id, representative)`` the smallest ``doc_id`` with the same set for each row with a
+    ``doc_id`` and words.  Copies are not expanded into pairs.  Every candidate pair is measured, so groups of
+    near copies cost the square of their number of different texts, as their links do; ``near_duplicates``
+    does not.  Sets under one ``doc_id`` are taken together: a link of either is one of the ``doc_id``.
+    """
+    t = Fraction(similarity)
+    found = _candidates(docs, n, t)
+    links = _verified(found.pairs, found.sets, t)
+    if found.large is not None:
+        links = links.unionAll(_tiles(found.large.select("h", "doc", F.col("doc").alias("comp")).distinct(), found.sets, _link_tile(t)))
+    links = durable(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
+    members = found.each.select("doc_id", "s1", "s2").join(found.reps.select("s1", "s2", F.col("doc_id").alias("representative")), ["s1", "s2"])
+    members = durable(members.select("doc_id", "representative").distinct(), "members")
+    found.release()
+    return links, members
+
+
+def link_counts(docs: DataFrame, n: int = 5, similarity: Fraction | str = "4/5") -> DataFrame:
+    """(doc_id, class_id, n_links) for every ``doc_id``: its representative and how many other documents it links with, copies included.
+
+    A document without words is its own class and has no link; a ``doc_id`` with several texts has the
+    smallest of their classes and the largest of their numbers.
+    """
+    links, members = linked_sets(docs, n, similarity)
+    copies = members.groupBy("representative").agg(F.count("*").alias("copies"))
+    ends = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    across = ends.join(copies.withColumnRenamed("representative", "b"), "b").groupBy(F.col("a").alias("representative")).agg(F.sum("copies").alias("others"))
+    per_class = copies.join(across, "representative", "left").select("representative", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    per_doc = members.join(per_class, "representative").groupBy("doc_id").agg(F.min("representative").alias("class_id"), F.max("n_links").alias("n_links"))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    out = every.join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    result = durable(out, "link-counts")
+    release(links, members)
     return result
 
 
@@ -617,7 +699,7 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return out.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
 
 
-def _tiles(met: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+def _tiles(met: DataFrame, sets: DataFrame, join) -> DataFrame:
     """Links between the components of documents that share groups: ``met`` is (h, doc, comp).
 
     Groups that share documents make a block.  A component of much text has tiles of
@@ -633,7 +715,7 @@ def _tiles(met: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     meet = every.alias("x").join(every.alias("y"), "block").where("x.tile <= y.tile and (x.tile.alone = -1 or x.tile.alone != y.tile.alone)").select("block", F.col("x.tile").alias("t1"), F.col("y.tile").alias("t2"))
     sides = [tiled.withColumnRenamed("tile", "t1").join(meet, ["block", "t1"]).withColumn("left", F.lit(True)), tiled.withColumnRenamed("tile", "t2").join(meet.where("t1 != t2"), ["block", "t2"]).withColumn("left", F.lit(False))]
     rows = sides[0].unionByName(sides[1]).join(sets.select("doc", "own"), "doc").select("block", "t1", "t2", "left", "doc", "comp", "own")
-    return rows.groupBy("block", "t1", "t2").applyInArrow(_join_tile(t), "a long, b long")
+    return rows.groupBy("block", "t1", "t2").applyInArrow(join, "a long, b long")
 
 
 def _star_members(pairs: DataFrame) -> DataFrame:

@@ -179,6 +179,47 @@ def test_frequent_shingles_and_tiles(spark, monkeypatch, fewest):
     assert got == groups_of(some, 3, Fraction(9, 10))
 
 
+def links_of(docs: dict, n: int, t: Fraction) -> tuple[set, dict]:
+    sets = {d: frozenset(shingles_of(s, n)) for d, s in docs.items()}
+    first = {}
+    for d in sorted(sets):
+        if sets[d]:
+            first.setdefault(sets[d], d)
+    links = set()
+    for x, a in first.items():
+        for y, b in first.items():
+            if a < b and len(x & y) >= t * len(x | y):
+                links.add((a, b))
+    return links, {d: first[x] for d, x in sets.items() if x}
+
+
+@pytest.mark.parametrize("few,tile", [(24, 200_000), (4, 900), (4, 60)])
+def test_links_equal_brute_force(spark, docs, monkeypatch, few, tile):
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    copies = near_texts(40, 3)
+    some = dict(list(docs.items())[:60]) | {10_000 + d: s for d, s in copies.items()} | {20_000 + d: copies[d] for d in range(0, 40, 3)} | {-1: "", -2: None, -3: "one", -4: "one"}
+    frame = spark.createDataFrame(list(some.items()), "doc_id long, text string")
+    links, member = links_of(some, 3, Fraction(4, 5))
+    assert len(links) > 50
+    with storage.scratch():
+        got, members = ngram_join.linked_sets(frame, 3, "4/5")
+        assert sorted(tuple(r) for r in got.collect()) == sorted(links)
+        assert {tuple(r) for r in members.collect()} == set(member.items())
+        counts = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.link_counts(frame, 3, "4/5").collect()}
+    ends = {x: {b for a, b in links if a == x} | {a for a, b in links if b == x} | {x} for x in member.values()}
+    assert counts == {d: (member[d], sum(member[o] in ends[member[d]] for o in member if o != d)) if d in member else (d, 0) for d in some}
+
+
+def test_links_of_empty_tables_and_repeated_ids(spark):
+    with storage.scratch():
+        links, members = ngram_join.linked_sets(spark.createDataFrame([], "doc_id long, text string"))
+        assert links.isEmpty() and members.isEmpty()
+        rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words"), (2, "a b c d e f"), (None, "a b c d e f")]
+        counts = ngram_join.link_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(tuple(r) for r in counts) == [(1, 1, 1), (2, 1, 1)]
+
+
 @pytest.mark.parametrize("t", [Fraction(9, 10), Fraction(4, 5), Fraction(1, 2)])
 def test_sizes_that_may_link_share_a_bin(t):
     bins = ngram_join.size_bins(t, 3000)
