@@ -81,7 +81,7 @@ def test(spark: SparkSession, path: str) -> bool:
 
 
 def extract(spark: SparkSession, path: str, folder: str, overwrite: bool = False) -> int:
-    return zip_archive.extract(zip_archive.read(spark, check_archive(path)), check_folder(folder), overwrite)
+    return zip_archive.extract(zip_archive.read(spark, check_archive(path)), check_folder(folder), overwrite, names=zip_archive.read(spark, path, content=False))
 
 
 def extract_file(spark: SparkSession, path: str, name: str, folder: str, overwrite: bool = False) -> int:

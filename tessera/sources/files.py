@@ -50,6 +50,18 @@ def children(path: str) -> list[str]:
     return sorted(join(path, posixpath.basename(x.path)) for x in system.get_file_info(arrow_fs.FileSelector(at)) if x.type == arrow_fs.FileType.File)
 
 
+def below(folder: str) -> list[str]:
+    """Files at any depth below a folder by their paths from there, in order of the paths' parts."""
+    system, at = locate(folder)
+    found = system.get_file_info(arrow_fs.FileSelector(at, recursive=True))
+    return sorted((posixpath.relpath(x.path, at) for x in found if x.type == arrow_fs.FileType.File), key=lambda x: x.split("/"))
+
+
+def make(folder: str) -> None:
+    system, at = locate(folder)
+    system.create_dir(at, recursive=True)
+
+
 def read(path: str) -> bytes:
     system, at = locate(path)
     with system.open_input_stream(at) as f:

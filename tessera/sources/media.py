@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import posixpath
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +52,7 @@ def to_rgb(image: DataFrame) -> DataFrame:
 
 
 def is_video(path: str) -> bool:
-    return os.path.isfile(path) and os.path.splitext(path)[1].lower() in VIDEO_SUFFIXES
+    return files.kind(path) == "file" and posixpath.splitext(str(path))[1].lower() in VIDEO_SUFFIXES
 
 
 def frames(rows: DataFrame, source: str, order: str) -> DataFrame:

@@ -8,10 +8,10 @@ default); equality filters on ``name`` skip other members before they are read.
 
 from __future__ import annotations
 
-import os
+import posixpath
 import zipfile
 from collections.abc import Iterator, Sequence
-from pathlib import Path
+from contextlib import ExitStack
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,7 +59,7 @@ class ZipReader(DataSourceReader):
                 m = members[k]
                 if self.name is None or m.filename == self.name:
                     content = z.open(m).read() if self.content and not m.is_dir() else None  # by entry: names may repeat
-                    yield (os.path.basename(partition.path), k, m.filename, m.file_size, m.compress_size, m.CRC, content)
+                    yield (posixpath.basename(partition.path), k, m.filename, m.file_size, m.compress_size, m.CRC, content)
 
 
 class ZipSource(DataSource):
@@ -87,31 +87,26 @@ def read(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
 def write(members: DataFrame, folder: str, overwrite: bool = False) -> list[str]:
     """One archive for each value of ``archive``; each is written by one task, member by member.
 
-    An archive is written beside its target and then moved there, so a task
-    that is run again replaces what the lost one left.
+    Targets are looked at before anything is written.  An archive is written beside its target and
+    then moved there, so a task that is run again replaces what the lost one left.
     """
+    if not overwrite:
+        for r in members.select("archive").distinct().toLocalIterator():
+            if files.kind(files.join(folder, validate.archive_path(r["archive"]))):
+                raise FileExistsError(f"exists already: {files.join(folder, r['archive'])}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, z, fresh, done = None, None, "", []
-
-        def close() -> None:
-            if z is not None:
-                z.close()
-                os.replace(fresh, os.path.join(folder, current))
-                done.append(current)
-
-        for batch in batches:
-            for archive, name, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if archive != current:
-                    close()
-                    target = os.path.join(folder, validate.archive_path(archive))
-                    if os.path.exists(target) and not overwrite:
-                        raise FileExistsError(target)
-                    os.makedirs(folder, exist_ok=True)
-                    current, fresh = archive, f"{target}.{os.getpid()}.new"
-                    z = zipfile.ZipFile(fresh, "w", zipfile.ZIP_DEFLATED)
-                z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content or b"", zipfile.ZIP_DEFLATED)
-        close()
+        done: list[str] = []
+        with ExitStack() as stack:
+            z = None
+            for batch in batches:
+                for archive, name, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    if not done or archive != done[-1]:
+                        stack.close()
+                        out = stack.enter_context(files.replacing(files.join(folder, validate.archive_path(archive))))
+                        z = stack.enter_context(zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED))
+                        done.append(archive)
+                    z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content or b"", zipfile.ZIP_DEFLATED)
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["archive"])
 
     rows = members.select("archive", "name", "content", "ord").repartition("archive").sortWithinPartitions("archive", "ord")
@@ -120,42 +115,57 @@ def write(members: DataFrame, folder: str, overwrite: bool = False) -> list[str]
 
 def compress(spark: SparkSession, source: str, target: str, overwrite: bool = False) -> str:
     """A file or folder as an archive; names are relative to its parent, in order of path."""
-    root = Path(source)
-    files = sorted(p for p in root.rglob("*") if p.is_file()) if root.is_dir() else [root]
-    if not files:
+    root, kind = str(source).rstrip("/"), files.kind(source)
+    found = files.below(root) if kind == "folder" else [""] if kind else []
+    if not found:
         raise FileNotFoundError(source)
-    folder, name = os.path.split(validate.archive_path(target))
-    names = spark.createDataFrame([(name, k, str(p.relative_to(root.parent)), str(p)) for k, p in enumerate(files)], "archive string, ord bigint, name string, path string")
+    folder, _, name = validate.archive_path(target).rpartition("/")
+    own = posixpath.basename(files.locate(root)[1])
+    names = spark.createDataFrame([(name, k, posixpath.join(own, x).rstrip("/"), files.join(root, x) if x else root) for k, x in enumerate(found)], "archive string, ord bigint, name string, path string")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1)
-                yield pa.RecordBatch.from_arrays([*(one.column(i) for i in range(3)), pa.array([Path(one.column(3)[0].as_py()).read_bytes()], pa.binary())], ["archive", "ord", "name", "content"])
+                yield pa.RecordBatch.from_arrays([*(one.column(i) for i in range(3)), pa.array([files.read(one.column(3)[0].as_py())], pa.binary())], ["archive", "ord", "name", "content"])
 
-    write(names.mapInArrow(load, "archive string, ord bigint, name string, content binary"), folder or ".", overwrite)
+    write(names.mapInArrow(load, "archive string, ord bigint, name string, content binary"), folder or ("/" if target.startswith("/") else "."), overwrite)
     return target
 
 
-def extract(members: DataFrame, folder: str, overwrite: bool = False, flat: bool = False) -> int:
-    """Write members as files below ``folder``; how many.  Names that leave it raise."""
-    root = os.path.realpath(folder)
+def extract(members: DataFrame, folder: str, overwrite: bool = False, flat: bool = False, names: DataFrame | None = None) -> int:
+    """Write members as files below ``folder``; how many.
+
+    Names that leave the folder and, without ``overwrite``, files that exist raise before anything is
+    written; ``names(name)`` spares that look the contents.  Tasks that are run again write their files again.  Of members
+    with one name the last of their slice of ``SLICE`` remains, and of several slices any.
+    """
+
+    def target(name: str) -> str:
+        at = posixpath.normpath(posixpath.basename(name) if flat else name.replace("\\", "/"))
+        if at.startswith(("/", "../")) or at in ("..", "."):
+            raise ValueError(f"outside the folder: {name}")
+        return files.join(folder, at)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                at = target(name)
+                if not overwrite and not name.endswith("/") and files.kind(at):
+                    raise FileExistsError(f"exists already: {at}")
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], ["n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                target = os.path.realpath(os.path.join(root, os.path.basename(name) if flat else name))
-                if not target.startswith(root + os.sep):
-                    raise ValueError(f"outside the folder: {name}")
                 if name.endswith("/"):
-                    os.makedirs(target, exist_ok=True)
+                    files.make(target(name))
                     continue
-                if os.path.exists(target) and not overwrite:
-                    raise FileExistsError(target)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                Path(target).write_bytes(content or b"")
+                with files.replacing(target(name)) as out:
+                    out.write(content or b"")
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
+    (members if names is None else names).select("name").mapInArrow(check, "n long").count()
     return sum(r["n"] for r in members.select("name", "content").mapInArrow(run, "n long").collect())

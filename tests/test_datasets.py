@@ -112,6 +112,22 @@ def test_zip(spark, tmp_path):
     assert zip_archive.write(left.withColumn("archive", F.lit("b.zip")), str(tmp_path)) == ["b.zip"]
     assert zip_archive.extract(zip_archive.read(spark, str(tmp_path / "b.zip")), str(tmp_path / "out")) == 1
     assert (tmp_path / "out/source/two.txt").read_text() == "two"
+    (tmp_path / "out/source/one.txt").write_text("own")
+    with pytest.raises(Exception, match="exists"):
+        zip_archive.extract(members, str(tmp_path / "out"))
+    assert (tmp_path / "out/source/one.txt").read_text() == "own"
+    (tmp_path / "out/source/two.txt").unlink()
+    with pytest.raises(Exception, match="exists"):
+        zip_archive.extract(members, str(tmp_path / "out"))
+    assert not (tmp_path / "out/source/two.txt").exists()  # nothing is written before all are looked at
+    assert zip_archive.extract(members, str(tmp_path / "out"), overwrite=True) == 2
+    (source / "deep/er").mkdir(parents=True)
+    (source / "deep/er/three.txt").write_text("three")
+    zip_archive.compress(spark, str(source), str(tmp_path / "deep.zip"))
+    zip_archive.compress(spark, str(source), str(tmp_path / "deep.zip"), overwrite=True)
+    zip_archive.compress(spark, str(source / "one.txt"), str(tmp_path / "one.zip"))
+    assert [r["name"] for r in zip_archive.read(spark, str(tmp_path / "deep.zip")).orderBy("ord").collect()] == ["source/deep/er/three.txt", "source/one.txt", "source/two.txt"]
+    assert [bytes(r["content"]) for r in zip_archive.read(spark, str(tmp_path / "one.zip")).collect()] == [b"one"]
     bad = spark.createDataFrame([("a", "../x", bytearray(b""))], "archive string, name string, content binary")
     with pytest.raises(Exception, match="outside"):
         zip_archive.extract(bad, str(tmp_path / "out"))
