@@ -51,15 +51,19 @@ def glob(name: Column, pattern: str) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes as ``x.xx UNIT``: powers of 1024, halves to the even hundredth."""
+    """Bytes as ``x.xx UNIT``: powers of 1024, halves to the even hundredth; any bigint fits.
+
+    Only what is left of the last unit, less than 2^40, is multiplied.
+    """
     out = None
     for k, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
         scale = 1024**k
-        whole = F.call_function("div", n * 100, F.lit(scale).cast("bigint"))
-        rest = (n * 100 - whole * scale) * 2
-        up = (rest > scale) | ((rest == scale) & (whole % 2 == 1))
-        hundredths = whole + up.cast("bigint")
-        text = F.concat(F.call_function("div", hundredths, F.lit(100)).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"), F.lit(f" {unit}"))
+        units, rest = F.call_function("div", n, F.lit(scale).cast("bigint")), n % F.lit(scale).cast("bigint") * 100
+        part = F.call_function("div", rest, F.lit(scale).cast("bigint"))
+        half = (rest - part * scale) * 2
+        hundredths = part + ((half > scale) | ((half == scale) & (part % 2 == 1))).cast("bigint")
+        whole = units + F.call_function("div", hundredths, F.lit(100))
+        text = F.concat(whole.cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"), F.lit(f" {unit}"))
         out = text if out is None else F.when(n < scale * 1024, text).otherwise(out)
     return out
 

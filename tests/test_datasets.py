@@ -91,6 +91,14 @@ def test_human_size(spark):
     assert got == ["0.00 B", "1.00 KB", "1.50 KB", "1.12 KB", "1.00 TB"]
 
 
+def test_human_size_of_any_bigint(spark):
+    """Times 100 these are beyond a bigint."""
+    sizes = [(1 << 63) - 1, 1_200_000**2 << 21, (5 << 60) // 4, (1 << 62) + (3 << 37), 1023, (1 << 20) - 1, (1 << 40) + (1 << 37)]
+    got = [r[0] for r in spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "i int, n long").orderBy("i").select(text.human_size(F.col("n"))).collect()]
+    assert got == ["8388608.00 TB", "2746582.03 TB", "1310720.00 TB", "4194304.38 TB", "1023.00 B", "1024.00 KB", "1.12 TB"]
+    assert got == [f"{n / 1024**k:.2f} {unit}" for n, (k, unit) in zip(sizes, [(4, "TB")] * 4 + [(0, "B"), (1, "KB"), (4, "TB")])]
+
+
 def test_zip(spark, tmp_path):
     source = tmp_path / "source"
     source.mkdir()
