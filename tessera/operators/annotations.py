@@ -8,8 +8,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -140,7 +142,7 @@ def ranked(images: DataFrame, order: Sequence[Column]) -> DataFrame:
     Each range's rows are numbered from the count of the ranges before it.  Range ends are
     keys of a sample by hash (some ``PER_RANGE`` distinct keys a range come to the driver), written
     into the plan, so that every evaluation deals rows alike; ranges that Spark draws anew each
-    time would not.  Rows of equal keys are in one range.
+    time would not; so are the counts.  Rows of equal keys are in one range.
     """
     spark = images.sparkSession
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -152,16 +154,21 @@ def ranked(images: DataFrame, order: Sequence[Column]) -> DataFrame:
     key = F.struct(*names)
     if ends:
         types = {f.name: f.dataType for f in keyed.schema.fields}
-        bounds = F.array(*(F.struct(*(F.lit(r[n]).cast(types[n]).alias(n) for n in names)) for r in ends))
-        part = F.size(F.filter(bounds, lambda x: x <= key))
+        step = math.isqrt(len(ends)) + 1
+        bound = lambda r: F.struct(*(F.lit(r[n]).cast(types[n]).alias(n) for n in names))
+        groups = F.array(*(F.array(*(bound(r) for r in ends[k : k + step])) for k in range(0, len(ends), step)))
+        below = lambda bounds: F.size(F.filter(bounds, lambda x: x <= key))
+        top = below(F.array(*(bound(r) for r in ends[::step])))  # then only the group that the key is in is looked at
+        part = F.when(top == 0, 0).otherwise((top - 1) * step + below(F.element_at(groups, F.greatest(top, F.lit(1)))))
     else:
         part = F.lit(0)
     dealt = keyed.withColumn("__part", part)
-    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row for each range
+    counts = {r["__part"]: r["n"] for r in dealt.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # a row for each range
+    before = [0, *accumulate(counts.get(k, 0) for k in range(len(ends)))]
     local = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*names)) - 1)
-    out = local.join(F.broadcast(before), "__part").withColumn("pos", (F.col("__rank") + F.col("__before")).cast("bigint"))
-    return out.drop("__part", "__rank", "__before", *names)
+    start = F.element_at(F.array(*(F.lit(n).cast("bigint") for n in before)), F.col("__part") + 1)
+    out = local.withColumn("pos", (F.col("__rank") + start).cast("bigint"))
+    return out.drop("__part", "__rank", *names)
 
 
 def partition(images: DataFrame, key: str, ratios: Sequence[float], seed: int = 42) -> DataFrame:

@@ -127,7 +127,7 @@ def draw_anchor(spark, sf):
 
 @query("frames_media", "SELECT event_id, row_number() OVER (ORDER BY ts) - 1 AS frame_index, 'stream' AS source FROM events")
 def frames_media(spark, sf):
-    return media.frames(table(spark, sf, "events").withColumn("stream", F.lit("stream")), "stream", "ts").select("event_id", "frame_index", "source")
+    return media.frames(table(spark, sf, "events").withColumn("stream", F.lit("stream")), "stream", "ts", "event_id").select("event_id", "frame_index", "source")
 
 
 @query("crop_pixels", """WITH I AS (SELECT p_partkey AS image_id, p_partkey % 9 AS x1, p_size % 9 AS y1 FROM part)

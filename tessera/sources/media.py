@@ -55,12 +55,12 @@ def is_video(path: str) -> bool:
     return files.kind(path) == "file" and posixpath.splitext(str(path))[1].lower() in VIDEO_SUFFIXES
 
 
-def frames(rows: DataFrame, source: str, order: str) -> DataFrame:
-    """Numbers rows as frames of their source, in order.
+def frames(rows: DataFrame, source: str, *order: str) -> DataFrame:
+    """Numbers rows as frames of their source, in order of the columns.
 
     Rows are ranked by ranges of (source, order), so a stream that holds most rows is no single task.
     """
-    placed = annotations.ranked(rows, [F.col(source), F.col(order)])
+    placed = annotations.ranked(rows, [F.col(source), *(F.col(c) for c in order)])
     first = placed.groupBy(source).agg(F.min("pos").alias("__first"))
     same = F.col(f"p.`{source}`").eqNullSafe(F.col(f"f.`{source}`"))
     numbered = placed.alias("p").join(first.alias("f"), same).select("p.*", (F.col("pos") - F.col("__first")).alias("frame_index")).drop("pos")

@@ -99,6 +99,26 @@ def test_ranks_are_whole_whatever_is_asked_for(spark):
     assert frames.where("frame_index <> k").isEmpty()
 
 
+def test_frames_and_merges_over_many_ranges(spark):
+    """With 200 ranges, as many as Spark's own default, of columns that are read from a file."""
+    events = spark.read.parquet("/root/testdata/sf0.1/events.parquet").select("event_id", "ts", "event_type")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select(F.col("source").alias("archive"), F.col("doc_id").alias("ord"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        for source in ("stream", "event_type"):
+            found = media.frames(events.withColumn("stream", F.lit("stream")), source, "ts").select("event_id", "source", "frame_index").toPandas()
+            rows = events.withColumn("stream", F.lit("stream")).select("event_id", source, "ts").toPandas().sort_values([source, "ts"])
+            want = dict(zip(rows["event_id"], zip(rows[source], rows.groupby(source).cumcount())))
+            assert len(found) == len(want) == 100_000 and all(want[e] == (s, k) for e, s, k in found.itertuples(index=False)), source
+        tied = events.withColumns({"stream": F.lit("stream"), "ts": F.lit(0)})
+        assert media.frames(tied, "stream", "ts", "event_id").agg(F.count("*"), F.min(F.col("event_id") - F.col("frame_index")), F.max(F.col("event_id") - F.col("frame_index"))).first()[:] == (100_000, 0, 0)
+        order = [(r["from_archive"], r["ord"]) for r in archive.merge(docs, "all.zip").select("from_archive", "ord").collect()]
+        assert sorted(k for _, k in order) == list(range(10_000)) and [a for a, _ in sorted(order, key=lambda x: x[1])] == sorted(a for a, _ in order)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_no_window_takes_all_rows(spark, capsys):
     members = spark.createDataFrame([(f"a{i % 3}", i, f"n{i}") for i in range(30)], "archive string, ord bigint, name string")
     events = spark.createDataFrame([("s", i) for i in range(20)], "stream string, ts bigint")
