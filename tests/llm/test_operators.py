@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import components, decontam, fingerprints, langid, licenses, line_dedup, ngram_join, packing, pii, quality, queries, storage, text, toxicity
@@ -489,6 +490,29 @@ def test_pairwise_ranking_orders_documents():
     assert (quality.fit(x, np.ones(400, int)).score(x) > 0.9).all()
 
 
+def test_all_pairs_are_at_their_optimum():
+    rng = np.random.default_rng(8)
+    x = rng.random((90, len(quality.FEATURES)))
+    y = (x[:, 3] + 0.5 * rng.random(90) > 0.7).astype(int)
+    model = quality.fit(x, y)
+    z = model.expand(x)
+    diff = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    gradient = quality.PAIRS / len(diff) * (diff / (1 + np.exp(diff @ model.weights))[:, None]).sum(0) - quality.PENALTY * model.weights
+    assert np.abs(gradient).max() < 1e-3 * np.abs(quality.PENALTY * model.weights).max() + 0.3
+    assert model.shift == pytest.approx(math.log(0.3 / 0.7) - np.quantile(model.raw_score(x), (y == 0).mean()), abs=0.02)
+
+
+def test_every_labelled_row_teaches(spark):
+    """17,000 rows, more than the 16,000 that once were the most; each also as another text, and labels twice."""
+    rows = spark.range(17_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("Some words"), F.md5(F.col("id").cast("string")), F.repeat(F.lit("| x "), (F.col("id") % 7).cast("int"))).alias("text"))
+    labels = rows.select("doc_id", (F.col("doc_id") % 7 < 4).cast("int").alias("quality"))
+    model = quality.train(rows.unionAll(rows), labels.unionAll(labels))
+    x = quality.feature_rows(pa.array([r["text"] for r in rows.collect()], pa.string()))
+    plain = quality.fit(x, (np.arange(17_000) % 7 < 4).astype(int))
+    assert np.allclose(model.mean, x.mean(0), rtol=1e-12) and np.array_equal(model.cuts, plain.cuts)
+    assert np.allclose(model.weights, plain.weights, atol=1e-4) and abs(model.shift - plain.shift) < 0.02
+
+
 # -- personal data ------------------------------------------------------
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
