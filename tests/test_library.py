@@ -104,6 +104,24 @@ def test_products_copy_no_block(spark, monkeypatch):
     assert 0 < rows <= 2 * (512 * 8 + 64)
 
 
+def test_blocks_are_as_wide_as_their_columns(spark, monkeypatch):
+    """512 rows of 8 columns move as cells and as blocks of 256 x 8, and tasks get some CELLS of the product."""
+    monkeypatch.setattr(tensor, "CELLS", 1 << 14)
+    x = tensor.from_rows(spark.range(512).select("id", F.array(*(F.sin(F.col("id") * 8.0 + k) for k in range(8))).alias("v")), "id", "v", (512, 8), "float64")
+    product = x.matmul(x.t()).base
+    moved, todo = 0, [product._jdf.queryExecution().executedPlan()]
+    assert len(product.collect()) == 512 * 512
+    while todo:
+        plan = todo.pop()
+        kids = [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in plan.nodeName() else []
+        if plan.nodeName() == "Exchange":
+            moved += plan.metrics().apply("dataSize").value()
+        children = plan.children()
+        todo += kids + [children.apply(k) for k in range(children.size())]
+    assert 0 < moved < 1_000_000
+    assert product.rdd.getNumPartitions() == 5 * 5
+
+
 def test_ranks_are_whole_whatever_is_asked_for(spark):
     """More rows than a range partitioning samples, with columns that some branches of the plan do without."""
     rows = spark.range(0, 60_000, 1, 3).select((F.col("id") * 7919 % 60_000).alias("k"), F.md5(F.col("id").cast("string")).alias("x"), F.when(F.col("id") % 9 == 0, None).otherwise(F.col("id") % 5).alias("g"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -63,3 +64,19 @@ def test_matrix_has_the_tables_rows(spark):
         at = tuple(got[f"i{k}"].to_numpy() for k in range(want.ndim))
         assert len(got) == want.size == len(set(zip(*at))), key
         assert np.array_equal(want[at], got["v"].to_numpy()), key
+
+
+def test_products_at_the_middle_are_rounded_as_in_sql(spark, tmp_path):
+    """Sums that times 10^5 are a whole number and a half, though their shortest decimal text is below that."""
+    rows = [[1.0, 1.0, 1.0, *[0.0] * 61]]
+    for y in (1.9902849999999999, -2.8985849999999997, 0.22800499999999999, -0.0000001):
+        high = np.float32(y)
+        mid = np.float32(y - float(high))
+        rows.append([float(high), float(mid), float(np.float32(y - float(high) - float(mid))), *[0.0] * 61])
+    spark.createDataFrame(list(enumerate(rows)), "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = {r[:2]: r[2] for r in con.sql(catalog.ORACLES["tensor_matmul"]).fetchall()}
+    got = {(r["i0"], r["i1"]): r["v"] for r in catalog.QUERIES["tensor_matmul"](spark, str(tmp_path)).collect()}
+    assert [want[0, k] for k in (1, 2, 3, 4)] == [1.99029, -2.89859, 0.22801, 0.0]
+    assert {k: repr(v) for k, v in got.items()} == {k: repr(v) for k, v in want.items()}
